@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import recordings
+from corpusloom.llm import neardup, recordings
 
-_MODULES = (recordings,)
+_MODULES = (recordings, neardup)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
