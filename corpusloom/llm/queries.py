@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import defects, language, neardup, recordings
+from corpusloom.llm import defects, language, leakage, neardup, packing, recordings
 
-_MODULES = (recordings, neardup, defects, language)
+_MODULES = (recordings, neardup, defects, language, packing, leakage)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE = {k: s for m in _MODULES for k, s in m.ORACLE.items()}
