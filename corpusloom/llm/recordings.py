@@ -2,9 +2,8 @@
 
 ``edit_segment_join`` finds all pairs of an evaluation string and a training string within ``k = 1`` edits.
 Evaluation strings are cut into k+1 = 2 segments; as one of them must occur unchanged at an allowed position of the
-training string and the other then holds at most k edits, the other one is cut into 2 again, so that even a segment
-that most strings share (a common prefix of all names of a source) makes no hot bucket: every key spans three quarters
-of the string. Training strings emit the substrings at the allowed positions, for each length they can match.
+training string and the other then holds at most k edits, the other one is cut into 2 again, so that a segment that
+many strings share makes no hot bucket: every key spans three quarters of the string's information. Training strings emit the substrings at the allowed positions, for each length they can match.
 Candidates are verified by the banded edit-distance of the engine (``levenshtein`` with a threshold).
 
 ``recording_names`` gives each path its source, its name (what is left of the last parts of the path without
@@ -17,13 +16,22 @@ it); strings of one character work as any other (empty quarters match at any str
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.functions.paths import is_blank, posix_resolve
-from corpusloom.session import lookup_join, table
+from corpusloom.functions.paths import is_blank
+from corpusloom.session import lookup_join, table, written
 
 K = 1
+#: Evaluation strings from which the places to cut are chosen.
+CUT_SAMPLE = 20000
 
 # What names a recording, by source. Pattern over "folder/stem" in lower case, groups in order.
 IDENTITY = {
@@ -61,62 +69,127 @@ def source_of(path: Column, sources: list[str]) -> Column:
     return found
 
 
-def _unpadded(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?<!\d)0+(?=\d)", "")
+def _resolve(path: str) -> str:
+    parts: list[str] = []
+    for x in path.split("/"):
+        if x == ".." and parts and parts[-1] != "..":
+            parts.pop()
+        elif x not in ("", ".") and not (x == ".." and path.startswith("/")):
+            parts.append(x)
+    return ("/" if path.startswith("/") else "") + "/".join(parts)
 
 
-def recording_names(paths: DataFrame, sources: list[str]) -> DataFrame:
-    """Adds ``source``, ``name`` and ``identity`` to distinct ``path`` values."""
-    resolved = posix_resolve(F.regexp_replace("path", "%20", " "))
-    tail = F.lower(F.regexp_extract(resolved, r"([^/]*/[^/]*)$", 1))
-    folder, base = F.regexp_extract(tail, r"^([^/]*)/", 1), F.regexp_extract(tail, r"([^/]*)$", 1)
-    stem = F.regexp_replace(F.regexp_replace(base, r"(\.[a-z][a-z0-9]{1,4}){1,2}$", ""), COPY_MARKS, "")
-    out = paths.withColumn("source", source_of(F.col("path"), sources)).withColumn("_resolved", resolved).withColumn("_tail", F.concat(folder, F.lit("/"), stem))
-    identity, name = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for s in sources:
-        pattern = IDENTITY.get(s)
+class Namer:
+    """Source, name and identity of a path."""
+
+    def __init__(self, sources: list[str]):
+        self.sources = [(s, s.lower()) for s in sources]
+        self.patterns = {s: re.compile(p) for s, p in IDENTITY.items()}
+        self.marks, self.extensions = re.compile(COPY_MARKS), re.compile(r"(\.[a-z][a-z0-9]{1,4}){1,2}$")
+        self.padding = re.compile(r"(?<!\d)0+(?=\d)")
+
+    def __call__(self, path: str) -> tuple[str | None, str, str]:
+        low = path.lower()
+        source = next((s for s, l in self.sources if l in low), None)
+        pattern = self.patterns.get(source or "")
         if pattern is None:
-            continue
-        groups = [F.regexp_extract("_tail", pattern, i + 1) for i in range(pattern.count("(") - pattern.count("(?") - pattern.count(r"\("))]
-        mine = F.col("source") == s
-        identity = F.when(mine, F.when(F.col("_tail").rlike(pattern), F.concat_ws("|", F.lit(s), *map(_unpadded, groups)))).otherwise(identity)
-        shown = F.col("_tail") if s in FOLDER_NAMES else F.regexp_extract("_tail", r"(\d+)$", 1) if s == "fieldclips" else F.regexp_extract("_tail", r"([^/]*)$", 1)
-        name = F.when(mine, F.concat(F.lit(s + ":"), _unpadded(shown))).otherwise(name)
-    own = F.concat(F.lit(":"), F.col("_resolved"))
-    return out.withColumn("identity", F.coalesce(identity, own)).withColumn("name", F.coalesce(name, own)).drop("_tail", "_resolved")
+            whole = _resolve(path)
+            return source, whole, ":" + whole
+        folder, _, base = ("/" + _resolve(low.replace("%20", " "))).rpartition("/")
+        stem = self.marks.sub("", self.extensions.sub("", base))
+        tail = folder.rpartition("/")[2] + "/" + stem
+        shown = tail if source in FOLDER_NAMES else re.search(r"\d*$", stem).group() if source == "fieldclips" else stem
+        m = pattern.search(tail)
+        name = self.padding.sub("", shown)
+        return source, name, "|".join([source, *(self.padding.sub("", g) for g in m.groups())]) if m else ":" + _resolve(path)
 
 
-def _keys(s: Column, length: Column) -> Column:
-    """The four keys that string ``s`` has in common with a string of ``length`` characters, if they are in reach.
+_NAMES = pa.schema([("side", pa.int32()), ("path", pa.string()), ("source", pa.string()), ("name", pa.string()), ("identity", pa.string())])
+
+
+def recording_names(paths: DataFrame, sources: list[str]) -> DataFrame:
+    """(side, path) to (side, path, source, name, identity)."""
 
-    b1, b2 and b3 cut ``length`` in quarters. One edit lies in one quarter; what precedes it is at the same position
-    from the start, what follows it at the same position from the end.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        namer = Namer(sources)
+        for b in batches:
+            found = list(map(namer, b.column(1).to_pylist())) or [(None, None, None)][:0]
+            cols = list(zip(*found)) if found else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.string()) for c in cols)], schema=_NAMES)
+
+    return paths.select(F.col("side").cast("int").alias("side"), "path").mapInArrow(run, "side int, path string, source string, name string, identity string")
+
+
+def segment_cuts(sample: list[tuple[str, str]]) -> dict[tuple[str, int], tuple[int, int, int]]:
+    """Where strings of a group and length are cut into quarters of equal information.
+
+    ``sample`` holds (group, string). Positions at which all strings agree carry none, so that a shared prefix doesn't
+    fill whole segments. Any cuts give all pairs; good ones give few candidates.
+    """
+    columns: dict[tuple[str, int], list[Counter]] = {}
+    for g, s in sample:
+        for c, ch in zip(columns.setdefault((g, len(s)), [Counter() for _ in s]), s):
+            c[ch] += 1
+    cuts = {}
+    for k, cols in columns.items():
+        bits = [sum(n * math.log2(sum(c.values()) / n) for n in c.values()) / sum(c.values()) for c in cols]
+        total, acc, at = sum(bits), 0.0, []
+        for i, x in enumerate(bits):
+            while len(at) < 3 and acc + x / 2 >= total * (len(at) + 1) / 4:
+                at.append(i)
+            acc += x
+        at += [len(cols)] * (3 - len(at))
+        cuts[k] = tuple(at)
+    return cuts
+
+
+def _keys(g: str, s: str, m: int, cuts: dict) -> set[int]:
+    """The four keys that string s has in common with a string of m characters, if they are in reach.
+
+    The cuts of length m make four quarters. One edit lies in one of them; what precedes it is at the same position
+    from the start, what follows it at the same position from the end. A key holds two segments: one half unchanged,
+    and that quarter of the other half which is unchanged, too.
     """
-    b1, b2, b3 = F.floor(length / 4).cast("int"), F.floor(length / 2).cast("int"), F.floor(length * 3 / 4).cast("int")
-    n = F.length(s)
+    b1, b2, b3 = cuts.get((g, m)) or (m // 4, m // 2, m * 3 // 4)
+    n = len(s)
+
+    def end(k: int) -> str:
+        return s[n - k :] if k else ""
 
-    def head(m: Column) -> Column:
-        return F.substring(s, F.lit(1), m)
+    parts = (s[:b3], s[:b2] + "\0" + end(m - b3), s[:b1] + "\0" + end(m - b2), end(m - b1))
+    return {xxhash.xxh64_intdigest(f"{g}\0{i}\0{m}\0{x}") - (1 << 63) for i, x in enumerate(parts)}
 
-    def tail(m: Column) -> Column:
-        return F.substring(s, n - m + 1, m)
 
-    parts = [(head(b3), F.lit("")), (head(b2), tail(length - b3)), (head(b1), tail(length - b2)), (F.lit(""), tail(length - b1))]
-    return F.array(*[F.xxhash64(F.lit(i), length, a, F.lit("|"), b) for i, (a, b) in enumerate(parts)])
+_KEYED = pa.schema([("g", pa.string()), ("s", pa.string()), ("k", pa.int64())])
 
 
 def edit_segment_join(evals: DataFrame, train: DataFrame) -> DataFrame:
-    """All pairs (``a``, ``b``, ``distance``) of strings at most ``K`` edits apart.
+    """All pairs (``g``, ``a``, ``b``, ``distance``) of strings of one group at most ``K`` edits apart.
 
-    ``evals`` and ``train`` hold distinct strings in column ``s``; further columns are ignored. Null strings match
-    nothing. Each pair comes once.
+    ``evals`` and ``train`` hold distinct (``g``, ``s``); further columns are ignored. Null strings match nothing; a
+    null group is a group. Each pair comes once.
     """
-    left = evals.where("s is not null").select(F.col("s").alias("a"), F.explode(_keys(F.col("s"), F.length("s"))).alias("k"))
-    b = train.where("s is not null").select(F.col("s").alias("b"))
-    n = F.length("b")
-    lengths = F.array(*[n + i for i in range(-K, K + 1)])
-    right = b.select("b", F.explode(lengths).alias("m")).where("m >= 0").select("b", F.explode(_keys(F.col("b"), F.col("m"))).alias("k"))
-    near = left.join(right, "k").select("a", "b", F.levenshtein("a", "b", K).alias("distance"))
+    clean = [x.where("s is not null").select(F.coalesce("g", F.lit("")).alias("g"), "s") for x in (evals, train)]
+    sample = clean[0].orderBy(F.xxhash64("s")).limit(CUT_SAMPLE).collect()
+    cuts = segment_cuts([(r[0], r[1]) for r in sample])
+
+    def emitter(reach: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                gs, ss, ks = [], [], []
+                for g, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    for m in range(max(0, len(s) - reach), len(s) + reach + 1):
+                        for k in _keys(g, s, m, cuts):
+                            gs.append(g)
+                            ss.append(s)
+                            ks.append(k)
+                yield pa.RecordBatch.from_arrays([pa.array(gs, pa.string()), pa.array(ss, pa.string()), pa.array(ks, pa.int64())], schema=_KEYED)
+
+        return run
+
+    left = clean[0].mapInArrow(emitter(0), "g string, s string, k long").select("g", F.col("s").alias("a"), "k")
+    right = clean[1].mapInArrow(emitter(K), "g string, s string, k long").select("g", F.col("s").alias("b"), "k")
+    near = left.join(right, ["k", "g"]).select("g", "a", "b", F.levenshtein("a", "b", K).alias("distance"))
     return near.where("distance >= 0").distinct()
 
 
@@ -131,12 +204,16 @@ def _matches(spark: SparkSession, d: str) -> DataFrame:
     """Pairs (test path, train path) that name one recording: the segment join, then an exact check of the identity."""
     sources = source_order(spark, d)
     items, rows = mentions(spark, d)
-    left = recording_names(items.select("path").distinct(), sources)
-    right = recording_names(rows.select("path").distinct(), sources)
-    near = edit_segment_join(left.select(F.col("name").alias("s")).distinct(), right.select(F.col("name").alias("s")).distinct())
-    l = left.select(F.col("path").alias("item_path"), F.col("name").alias("a"), "identity", "source")
-    r = right.select(F.col("path").alias("train_path"), F.col("name").alias("b"), F.col("identity").alias("train_identity"))
-    return near.join(l, "a").join(r, "b").where("identity = train_identity").select("item_path", "train_path", "source", "distance")
+    paths = items.select(F.lit(0).alias("side"), "path").union(rows.select(F.lit(1), "path")).distinct()
+    named = written(recording_names(paths, sources), "p1-names")
+    left, right = named.where("side = 0"), named.where("side = 1")
+    strings = [x.select(F.col("source").alias("g"), F.col("name").alias("s")).distinct() for x in (left, right)]
+    near = edit_segment_join(*strings).withColumn("source", F.nullif("g", F.lit("")))
+    by = F.coalesce("source", F.lit(""))
+    l = left.select(by.alias("g"), F.col("path").alias("item_path"), F.col("name").alias("a"), "identity")
+    r = right.select(by.alias("g"), F.col("path").alias("train_path"), F.col("name").alias("b"), F.col("identity").alias("train_identity"))
+    pairs = near.join(l, ["g", "a"]).join(r, ["g", "b"])
+    return pairs.where("identity = train_identity").select("item_path", "train_path", "source", "distance")
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
