@@ -32,7 +32,7 @@ from corpusloom.session import lookup_join, table, written
 
 TOPICS = 40
 BLOCK = 50_000
-ROUNDS = 200
+ROUNDS = 60
 
 
 def durations(inventory: DataFrame) -> DataFrame:
@@ -74,8 +74,20 @@ def rake(seconds: np.ndarray, main: np.ndarray, language: np.ndarray, topic: np.
     cap = repeats[main].astype(float)
     reach = (cap[:, None] * seconds).sum(0)
     most = min(reach[s] / share[s] for s in range(len(share)) if share[s] > 0)
-    want = share * min(most, total or most)
-    w = np.where(share[main] > 0, (want / np.maximum(have, 1e-9))[main], 0.0)
+    size = min(most, total or most)
+    for _ in range(20):
+        w = _raked(seconds, main, language, topic, share * size, cap)
+        got = (w[:, None] * seconds).sum(0)
+        fit = min(got[s] / (share[s] * size) for s in range(len(share)) if share[s] > 0)
+        if fit > 1 - 1e-4:
+            break
+        size *= fit  # a source also held by samples of other sources can't be reached by its own cap alone
+    return w
+
+
+def _raked(seconds: np.ndarray, main: np.ndarray, language: np.ndarray, topic: np.ndarray, want: np.ndarray, cap: np.ndarray) -> np.ndarray:
+    have = seconds.sum(0)
+    w = np.where(want[main] > 0, (want / np.maximum(have, 1e-9))[main], 0.0)
     cell = seconds.sum(1)
     natural = [(codes, np.bincount(codes, cell) / cell.sum()) for codes in (topic, language)]
     for _ in range(ROUNDS):
