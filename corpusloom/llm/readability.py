@@ -9,7 +9,8 @@
    of words at that level; folds of sources give
    out-of-fold predictions, on which the scores are calibrated (isotonic by pooling); the best calibrated level wins.
 
-Training reads at most ``LABELLED`` labelled documents (a documented bound, drawn by a hash of the id); the statistics
+Training reads at most about ``LABELLED`` labelled documents, twice as many never (a documented bound, drawn by a hash
+of the id); the statistics
 of the lexicon come from these, the levels are given to every document.
 
 Edge cases: null texts, texts of fewer than ``LEAST_PIECES`` pieces and texts in other languages get no level in
@@ -39,29 +40,28 @@ TREES, DEPTH, RATE, FOLDS, LEAF = 40, 3, 0.1, 3, 25
 #: Words of a unit where a text has no sentences.
 UNIT = 7
 _CLEAN = re.compile(r"<[^<>]{0,200}>|\[\d{1,2}:\d\d(?::\d\d)?\]|^[ \t]*[A-Z][A-Za-z0-9]{0,12}:[ \t]|&[a-z]{2,6};", re.M)
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|[.!?\n]|,")
+_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_END = re.compile(r"[.!?\n]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ]")
 # English words of subordination and connection.
 CONNECTIVES = frozenset("although because while whenever which that whose when if unless until though albeit insofar notwithstanding whereas neither nor however therefore by".split())
 
 
 def units(text: str) -> tuple[list[str], list[int], int]:
-    """Words in lower case, the first word of each unit, and the number of commas. Units are sentences, or ``UNIT``
-    words where there is hardly any punctuation."""
-    words, starts, commas, fresh = [], [], 0, True
-    for t in _TOKEN.findall(_CLEAN.sub(" ", text)):
-        if t == ",":
-            commas += 1
-        elif t in ".!?\n":
-            fresh = True
-        else:
-            if fresh:
-                starts.append(len(words))
-                fresh = False
-            words.append(t.lower())
-    if len(words) > 25 * max(1, len(starts)):
-        starts = list(range(0, len(words), UNIT))
-    return words, starts, commas
+    """Words in lower case, the number of words of each unit, and the number of commas. Units are sentences, or
+    ``UNIT`` words where there is hardly any punctuation."""
+    clean = _CLEAN.sub(" ", text)
+    words: list[str] = []
+    sizes: list[int] = []
+    for sentence in _END.split(clean.lower()):
+        found = _WORD.findall(sentence)
+        if found:
+            words += found
+            sizes.append(len(found))
+    n = len(words)
+    if n > 25 * max(1, len(sizes)):
+        sizes = [UNIT] * (n // UNIT) + ([n % UNIT] if n % UNIT else [])
+    return words, sizes, clean.count(",")
 
 
 class Lexicon:
@@ -71,18 +71,20 @@ class Lexicon:
         self.index, self.weights = index, weights
 
     @classmethod
-    def fit(cls, docs: list[tuple[str, float]], rounds: int = 3) -> Lexicon:
-        parsed = [(*units(t)[:2], y) for t, y in docs]
+    def fit(cls, docs: list[tuple[tuple, float]], rounds: int = 3) -> Lexicon:
+        """``docs``: (parsed text, mean level)."""
+        parsed = [(p[0], p[1], y) for p, y in docs]
         counts = Counter(w for ws, _, _ in parsed for w in set(ws))
         index = {w: i + 1 for i, w in enumerate(sorted(w for w, c in counts.items() if c >= 3))}
         out = cls(index, np.zeros((len(index) + 1, 4)))
         flat, at, levels = [], [], []
         n = 0
-        for ws, starts, y in parsed:
+        for ws, sizes, y in parsed:
             flat.append(out.ids(ws))
-            at += [n + k for k in starts]
-            levels += [y] * len(starts)
-            n += len(ws)
+            for k in sizes:
+                at.append(n)
+                n += k
+            levels += [y] * len(sizes)
         if not at:
             return out
         ids, at_, apart = np.concatenate(flat), np.array(at), np.abs(np.array(levels)[:, None] - np.array(LEVELS)[None, :])
@@ -105,32 +107,81 @@ class Lexicon:
         return np.array([get(w, 0) for w in words], np.int64)
 
 
-def features(lex: Lexicon, text: str) -> np.ndarray:
-    words, starts, commas = units(text)
-    if not words:
-        return np.zeros(N_FEATURES, np.float32)
-    ids, at = lex.ids(words), np.array(starts)
-    sizes = np.diff(np.append(at, len(words)))
-    scores = np.add.reduceat(lex.weights[ids], at, axis=0)
-    level = scores.argmax(1)
-    share = np.bincount(level, sizes, 4) / len(words)
-    soft = np.exp(scores - scores.max(1, keepdims=True))
-    soft = ((soft / soft.sum(1, keepdims=True)) * sizes[:, None]).sum(0) / len(words)
-    lens = np.array([len(w) for w in words])
-    order = np.argsort(-share)
-    sets = [set(words[s : s + n]) for s, n in zip(starts[:200], sizes[:200].tolist())]
-    cohesion = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(sets, sets[1:])]
-    connect = sum(w in CONNECTIVES for w in words) / len(words)
-    return np.array(
-        [*share, *soft, *(lex.weights[ids].mean(0)), share.max(), order[0], order[1], share[order[0]] - share[order[1]],
-         lens.mean(), lens.std(), (lens >= 9).mean(), (lens <= 3).mean(), *np.percentile(lens, [75, 95]),
-         sizes.mean(), sizes.std(), *np.percentile(sizes, [25, 50, 90]), len(set(words)) / len(words), (ids == 0).mean(),
-         connect, commas / len(words), float(np.mean(cohesion)) if cohesion else 0.0, math.log(len(words))],
-        np.float32,
-    )
+class Vocabulary:
+    """One index of words for the lexicon and, where given, the language model."""
+
+    def __init__(self, lex: Lexicon, lm: LanguageModel | None = None):
+        own = list(lex.index) + [w for w in (lm.weights if lm else ()) if w not in lex.index]
+        self.index = {w: i + 1 for i, w in enumerate(own)}
+        n = len(own) + 1
+        self.level, self.lang = np.zeros((n, 4), np.float32), np.zeros((n, 4), np.float32)
+        self.known, self.connects = np.zeros(n, bool), np.zeros(n, bool)
+        for w, i in self.index.items():
+            self.connects[i] = w in CONNECTIVES
+            if w in lex.index:
+                self.level[i], self.known[i] = lex.weights[lex.index[w]], True
+            if lm and w in lm.weights:
+                self.lang[i] = lm.weights[w]
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        get = self.index.get
+        return np.array([get(w, 0) for w in words], np.int64)
 
 
-N_FEATURES = 37
+def features(voc: Vocabulary, parsed: list[tuple[list[str], list[int], int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features (documents, N_FEATURES) and language scores (documents, 4) of parsed texts, computed together."""
+    n = len(parsed)
+    count = np.array([len(p[0]) for p in parsed])
+    full = np.flatnonzero(count)
+    out, lang = np.zeros((n, N_FEATURES), np.float32), np.zeros((n, 4))
+    if not len(full):
+        return out, lang
+    flat = [w for p in parsed for w in p[0]]
+    ids = voc.ids(flat)
+    lens = np.fromiter(map(len, flat), np.float64, len(flat))
+    size = np.array([k for p in parsed for k in p[1]])
+    unit_doc = np.repeat(np.arange(n), [len(p[1]) for p in parsed])
+    doc = np.repeat(np.arange(n), count)
+    unit = np.repeat(np.arange(len(size)), size)
+    first = np.cumsum(size) - size
+    m = count[full].astype(float)
+
+    def per_doc(x: np.ndarray, by: np.ndarray = doc) -> np.ndarray:
+        return np.bincount(by, x, n)[full]
+
+    def quantile(x: np.ndarray, by: np.ndarray, total: np.ndarray, q: float) -> np.ndarray:
+        order = np.lexsort((x, by))
+        start = np.cumsum(total) - total
+        return x[order][(start + np.floor(q * np.maximum(total - 1, 0)).astype(int))[full]]
+
+    scores = np.add.reduceat(voc.level[ids], first, axis=0).astype(float)
+    level = scores.argmax(1)
+    share = np.stack([per_doc(size * (level == k), unit_doc) for k in range(4)], 1) / m[:, None]
+    soft = np.exp(scores - scores.max(1, keepdims=True))
+    soft /= soft.sum(1, keepdims=True)
+    soft = np.stack([per_doc(size * soft[:, k], unit_doc) for k in range(4)], 1) / m[:, None]
+    mean = np.stack([per_doc(voc.level[ids, k]) for k in range(4)], 1) / m[:, None]
+    order = np.argsort(-share, 1, kind="stable")
+    top = np.take_along_axis(share, order, 1)
+    n_units = np.bincount(unit_doc, minlength=n)
+    u = n_units[full].astype(float)
+    len_mean, size_mean = per_doc(lens) / m, per_doc(size.astype(float), unit_doc) / u
+    types = np.bincount(np.unique(doc * np.int64(1 << 32) + ids) >> 32, minlength=n)[full]
+    keys = np.unique(unit * np.int64(1 << 32) + ids)
+    again = np.isin(keys - (1 << 32), keys, assume_unique=True) & (unit_doc[keys >> 32] == unit_doc[np.maximum((keys >> 32) - 1, 0)])
+    cohesion = np.bincount(unit_doc[keys >> 32], again, n)[full] / np.maximum(np.bincount(unit_doc[keys >> 32], minlength=n)[full], 1)
+    cols = [
+        *share.T, *soft.T, *mean.T, top[:, 0], order[:, 0], order[:, 1], top[:, 0] - top[:, 1],
+        len_mean, np.sqrt(np.maximum(per_doc(lens**2) / m - len_mean**2, 0)), per_doc(lens >= 9) / m, per_doc(lens <= 3) / m, quantile(lens, doc, count, 0.75), quantile(lens, doc, count, 0.95),
+        size_mean, np.sqrt(np.maximum(per_doc(size.astype(float) ** 2, unit_doc) / u - size_mean**2, 0)), *(quantile(size, unit_doc, n_units, x) for x in (0.25, 0.5, 0.9)),
+        types / m, per_doc(~voc.known[ids]) / m, per_doc(voc.connects[ids]) / m, np.array([p[2] for p in parsed])[full] / m, cohesion, np.log(m),
+    ]
+    out[full] = np.stack(cols, 1)
+    lang[full] = np.stack([per_doc(voc.lang[ids, k]) for k in range(4)], 1)
+    return out, lang
+
+
+N_FEATURES = 33
 
 
 class Trees:
@@ -210,6 +261,7 @@ class Grader:
         """``docs``: (source, text, level shares of the raters)."""
         target = np.array([[d[2].get(l, 0.0) for l in LEVELS] for d in docs])
         mean = target @ np.array(LEVELS)
+        parsed = [units(d[1]) for d in docs]
         sources = sorted({d[0] for d in docs})
         fold = np.array([sources.index(d[0]) % FOLDS for d in docs]) if len(sources) >= FOLDS else np.arange(len(docs)) % FOLDS
         oof = np.zeros((len(docs), 4))
@@ -218,13 +270,13 @@ class Grader:
             tr, te = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
             if not len(tr):
                 tr = te
-            lex = Lexicon.fit([(docs[i][1], mean[i]) for i in tr])
-            xt, xe = (np.stack([features(lex, docs[i][1]) for i in rows]) for rows in (tr, te))
+            voc = Vocabulary(Lexicon.fit([(parsed[i], mean[i]) for i in tr]))
+            xt, xe = (features(voc, [parsed[i] for i in rows])[0] for rows in (tr, te))
             for j in range(4):
                 oof[te, j] = Trees.fit(xt, target[tr, j], w[tr], j).predict(xe)
         steps = [isotonic(oof[:, j], target[:, j], w) for j in range(4)]
-        lex = Lexicon.fit([(d[1], m) for d, m in zip(docs, mean)])
-        x = np.stack([features(lex, d[1]) for d in docs])
+        lex = Lexicon.fit(list(zip(parsed, mean)))
+        x = features(Vocabulary(lex), parsed)[0]
         out = cls(lex, [Trees.fit(x, target[:, j], w, j) for j in range(4)], steps, {})
         hit = out.decide(oof) == target.argmax(1) + 1
         for s in sources:
@@ -236,19 +288,40 @@ class Grader:
         p = np.stack([np.interp(raw[:, j], *self.steps[j]) for j in range(4)], 1)
         return (p + 0.02 * raw).argmax(1) + 1
 
-    def grade(self, texts: list[str]) -> np.ndarray:
-        x = np.stack([features(self.lex, t) for t in texts])
-        return self.decide(np.stack([m.predict(x) for m in self.models], 1))
+    def grade(self, x: np.ndarray) -> np.ndarray:
+        """Levels by features; many rows at once."""
+        return self.decide(np.stack([m.predict(x) for m in self.models], 1)) if len(x) else np.zeros(0, int)
+
+
+def _foreign(text: str, n_words: int) -> bool:
+    """Whether Chinese or Japanese characters outnumber the words."""
+    return not text.isascii() and len(_CJK.findall(text)) > n_words
+
+
+class Reader:
+    """Levels of texts: whole batches at once."""
+
+    def __init__(self, lm: LanguageModel, grader: Grader):
+        self.grader, self.voc = grader, Vocabulary(grader.lex, lm)
+
+    def levels(self, texts: list[str | None]) -> list[int | None]:
+        out: list[int | None] = [None] * len(texts)
+        for lo in range(0, len(texts), 512):
+            at = [i for i in range(lo, min(lo + 512, len(texts))) if texts[i] and len(texts[i].split()) >= LEAST_PIECES]
+            parsed = [units(texts[i]) for i in at]
+            x, lang = features(self.voc, parsed)
+            english = (lang.argmax(1) == 0) & (np.ptp(lang, 1) > 0)
+            rows = [k for k, i in enumerate(at) if english[k] and not _foreign(texts[i], len(parsed[k][0]))]
+            for k, g in zip(rows, self.grader.grade(x[rows]).tolist()):
+                out[at[k]] = g
+        return out
 
 
 def english(model: LanguageModel, text: str) -> bool:
     """Whether the larger part of a text is English."""
-    n = len(_CJK.findall(text))
-    words = re.findall(r"[^\W\d_]+", _CLEAN.sub(" ", text).lower())
-    if n > len(words):
-        return False
+    words = units(text)[0]
     s = model.score(words)
-    return bool(words) and max(s) == s[0] and len(set(s)) > 1
+    return bool(words) and not _foreign(text, len(words)) and max(s) == s[0] and len(set(s)) > 1
 
 
 def fit(spark: SparkSession, d: str) -> tuple[LanguageModel, Grader | None]:
@@ -256,8 +329,9 @@ def fit(spark: SparkSession, d: str) -> tuple[LanguageModel, Grader | None]:
     sample = _language_sample(docs)
     labels = table(spark, d, "level_labels").where("reading_level between 1 and 4").groupBy("doc_id", "rater").agg(F.avg("reading_level").alias("reading_level"))
     labels = labels.withColumn("reading_level", F.round("reading_level").cast("int")).groupBy("doc_id").agg(F.collect_list("reading_level").alias("levels"))
-    chosen = docs.where(F.col("text").isNotNull()).join(labels, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(3))).limit(LABELLED)
-    rows = chosen.select("source", "text", "levels").collect()
+    step = max(1, labels.count() // LABELLED)
+    chosen = docs.where(F.col("text").isNotNull()).join(labels.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(step)) == 0), "doc_id")
+    rows = chosen.select("source", "text", "levels").limit(2 * LABELLED).collect()
     lm = LanguageModel.fit(sample)
     data = [(r["source"] or "", r["text"], {l: c / len(r["levels"]) for l, c in Counter(r["levels"]).items()}) for r in rows if english(lm, r["text"])]
     return lm, (Grader.fit(data) if data else None)
@@ -282,14 +356,11 @@ def levels(spark: SparkSession, d: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm, grader = model.value
+        reader = Reader(lm, grader) if grader else None
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            out: list[int | None] = [None] * len(ids)
-            good = [i for i, t in enumerate(texts) if t and grader and len(t.split()) >= LEAST_PIECES and english(lm, t)]
-            if good:
-                for i, g in zip(good, grader.grade([texts[i] for i in good]).tolist()):
-                    out[i] = g
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.int32())], schema=_OUT)
+            texts = b.column(1).to_pylist()
+            out = reader.levels(texts) if reader else [None] * len(texts)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int32())], schema=_OUT)
 
     return table(spark, d, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, reading_level int")
 
