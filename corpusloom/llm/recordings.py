@@ -170,7 +170,8 @@ def edit_segment_join(evals: DataFrame, train: DataFrame) -> DataFrame:
     null group is a group. Each pair comes once.
     """
     clean = [x.where("s is not null").select(F.coalesce("g", F.lit("")).alias("g"), "s") for x in (evals, train)]
-    sample = clean[0].orderBy(F.xxhash64("s")).limit(CUT_SAMPLE).collect()
+    step = max(1, clean[0].count() // CUT_SAMPLE)
+    sample = clean[0].where(F.pmod(F.xxhash64("g", "s"), F.lit(step)) == 0).limit(2 * CUT_SAMPLE).collect()
     cuts = segment_cuts([(r[0], r[1]) for r in sample])
 
     def emitter(reach: int):
