@@ -144,7 +144,7 @@ POINTS, OTHER = [(0.0, 10.0), (20.0, 2.0), (100.0, 0.5)], [(0.0, 0.0), (50.0, 6.
 
 
 def piecewise_eval(s, d):
-    return W.piecewise_join(ev(s, d).select("event_id", "value"), "value", POINTS, "y").select("event_id", r(F.col("y"), "y"))
+    return W.piecewise_join(ev(s, d).select("event_id", "value"), "value", POINTS, "y").select("event_id", F.round("y", 9).alias("y"))
 
 
 def piecewise_max(s, d):
@@ -375,7 +375,7 @@ ORACLE = {
     "align_ratio_fold": _EV + " SELECT user_id, t // 2 AS t, coalesce(max(event_id) FILTER (WHERE t % 2 = 0), -100) AS first, coalesce(max(event_id) FILTER (WHERE t % 2 = 1), -100) AS second FROM ev GROUP BY 1, 2",
     "interp_nearest": _EV + _LEN + ", g AS (SELECT user_id, n, unnest(range(n * 3 // 2)) AS o FROM len) SELECT g.user_id, o AS t, event_id FROM g JOIN ev ON ev.user_id = g.user_id AND ev.t = o * n // (n * 3 // 2)",
     "backfill_dims": "SELECT label, " + ", ".join(f"arg_max(CAST(embedding[{i + 1}] AS DOUBLE), vec_id) FILTER (WHERE vec_id % {i + 2} = 0) AS d{i}" for i in range(4)) + " FROM embeddings GROUP BY 1",
-    "piecewise_eval": f"SELECT event_id, round({_piece_sql(POINTS)}, 6) AS y FROM events",
+    "piecewise_eval": f"SELECT event_id, round({_piece_sql(POINTS)}, 9) AS y FROM events",
     "piecewise_max": f"SELECT event_id, round(greatest({_piece_sql(POINTS)}, {_piece_sql(OTHER)}), 6) AS y, round(2 * ({_piece_sql(POINTS)} + {_piece_sql(OTHER)}), 6) AS z FROM events",
     "pad_mask": "SELECT row_idx, array_to_string(list_transform([0, 1, 2, 3], lambda i: CASE WHEN i >= coalesce(len(list_filter(audios, lambda a: a IS NOT NULL)), 0) THEN 'true' ELSE 'false' END), ',') AS mask FROM train_samples",
     "pad_to_max": "WITH a AS (SELECT row_idx, list_transform(audios, lambda x: coalesce(length(x), 0)) AS a, (SELECT max(len(audios)) FROM train_samples) AS w FROM train_samples WHERE audios IS NOT NULL) SELECT row_idx, array_to_string(list_concat(a, list_transform(range(CAST(w - len(a) AS BIGINT)), lambda i: CAST(-100 AS BIGINT))), ',') AS right, array_to_string(list_concat(list_transform(range(CAST(w - len(a) AS BIGINT)), lambda i: CAST(0 AS BIGINT)), a), ',') AS left FROM a",
