@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 TOKENIZERS: dict[str, Callable[[str], list[int]]] = {
     "bytes": lambda s: list(s.encode()),
@@ -56,9 +57,12 @@ def score(df: DataFrame, make: Callable[[], Callable[[pd.DataFrame], pd.Series]]
     return df.mapInPandas(run, f"{fields}, `{name}` {ddl}")
 
 
-@F.pandas_udf("double")
-def erf(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None or v != v else math.erf(v))
+def erf(x: Column) -> Column:
+    @F.pandas_udf(DoubleType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda v: None if v is None or v != v else math.erf(v))
+
+    return run(x)
 
 
 def gelu(x: Column) -> Column:

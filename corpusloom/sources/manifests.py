@@ -86,14 +86,9 @@ def read_lookup(spark: SparkSession, path: str) -> DataFrame:
 def ascii_json(c: Column) -> Column:
     """JSON text with everything beyond ASCII as \\uXXXX, surrogate pairs included."""
 
-    def unit(n: Column) -> Column:
-        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
-
     def escaped(ch: Column) -> Column:
-        code = F.conv(F.hex(F.encode(ch, "UTF-32BE")), 16, 10).cast("bigint")
-        high = F.lit(0xD800) + F.shiftright(code - 0x10000, 10)
-        low = F.lit(0xDC00) + ((code - 0x10000).bitwiseAND(F.lit(0x3FF)))
-        return F.when(code < 128, ch).when(code < 0x10000, unit(code)).otherwise(F.concat(unit(high), unit(low)))
+        units = F.lower(F.hex(F.encode(ch, "UTF-16BE")))
+        return F.when(ch.rlike(r"^[\x00-\x7F]$"), ch).otherwise(F.regexp_replace(units, "(.{4})", r"\\u$1"))
 
     return F.when(c.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.split(c, ""), escaped), "")).otherwise(c)
 
