@@ -325,7 +325,7 @@ def english(model: LanguageModel, text: str) -> bool:
 
 
 def fit(spark: SparkSession, d: str) -> tuple[LanguageModel, Grader | None]:
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents").select("doc_id", "source", "text", "lang")
     sample = _language_sample(docs)
     labels = table(spark, d, "level_labels").where("reading_level between 1 and 4").groupBy("doc_id", "rater").agg(F.avg("reading_level").alias("reading_level"))
     labels = labels.withColumn("reading_level", F.round("reading_level").cast("int")).groupBy("doc_id").agg(F.collect_list("reading_level").alias("levels"))
