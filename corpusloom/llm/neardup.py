@@ -150,14 +150,16 @@ def _compare(a: dict[str, np.ndarray], b: dict[str, np.ndarray], same: bool) ->
     """Pairs of two blocks of one signature that the sketches can't rule out."""
     t = float(THRESHOLD)
     out_a, out_b = [], []
+    # First against the loosest bound of the two blocks, in bytes; the exact bound only for what passes.
+    loosest = min(128, int((1 - t) * (int(a["n"].max()) + int(b["n"].max())) + 1e-9))
+    a0, a1, b0, b1 = (x[k].view(np.uint64) for x, k in ((a, "s0"), (a, "s1"), (b, "s0"), (b, "s1")))
     for lo in range(0, len(a["rep"]), 256):
         s = slice(lo, lo + 256)
-        x0, x1 = (a[k][s, None] ^ b[k][None, :] for k in ("s0", "s1"))
-        flips = np.bitwise_count(x0.view(np.uint64)) + np.bitwise_count(x1.view(np.uint64))
-        total = a["n"][s, None] + b["n"][None, :]
-        ok = flips <= np.floor((1 - t) * total + 1e-9)
-        i, j = np.nonzero(ok)
-        i += lo
+        flips = np.bitwise_count(a0[s, None] ^ b0[None, :])
+        flips += np.bitwise_count(a1[s, None] ^ b1[None, :])
+        i, j = np.nonzero(flips <= loosest)
+        ok = flips[i, j] <= np.floor((1 - t) * (a["n"][lo + i] + b["n"][j]) + 1e-9)
+        i, j = i[ok] + lo, j[ok]
         role = np.where(a["n"][i] <= b["n"][j], a["short"][i], False) | np.where(b["n"][j] <= a["n"][i], b["short"][j], False)
         keep = role & (a["rep"][i] != b["rep"][j]) & (np.minimum(a["n"][i], b["n"][j]) * (2 - t) >= np.maximum(a["n"][i], b["n"][j]) * t - 1e-9)
         if same:
