@@ -24,4 +24,4 @@ def posix_resolve(path: Column) -> Column:
 
     folded = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
     whole = F.concat(F.when(absolute, F.lit("/")).otherwise(F.lit("")), F.array_join(folded, "/"))
-    return F.when(path.rlike(r"//|(^|/)\.{1,2}(/|$)|.+/$"), whole).otherwise(path)
+    return F.when(path.rlike(r"//|(^|/)\.{1,2}(/|$)|./$"), whole).otherwise(path)

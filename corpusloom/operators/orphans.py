@@ -9,7 +9,8 @@ Transition
     ``advance(state, ...)`` takes a batch of new parent entries, changed entries (a deletion is an entry whose
     ``removed`` becomes known) and new references. New references probe the index. Keys touched by the batch have
     their references probed again: an arriving parent resolves those that wait, a deletion reopens them. References of
-    untouched keys are carried over without a probe. Feeding a history in any batches gives the state of one batch.
+    untouched keys are carried over without a probe. Feeding a history in any batches gives the state of one batch. The
+state is written to the shared folder after every batch, so the lineage doesn't grow with the number of batches.
 
 A reference is judged as of its own time: ``missing`` when the key has no entry at all, ``late`` when all entries were
 added after it, ``deleted`` when some were added by then and none was there any more.
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import hot_keys, lookup_join
+from corpusloom.session import hot_keys, lookup_join, written
 
 REF_COLUMNS = ("tbl", "rec_id", "pos", "key", "at")
 _FAR = "cast('9999-12-31 00:00:00' as timestamp_ntz)"
@@ -76,7 +77,7 @@ def probe(references: DataFrame, parents: DataFrame) -> DataFrame:
 
 def bootstrap(entries: DataFrame, references: DataFrame) -> OrphanState:
     """The state after a first batch."""
-    parents = build_parents(entries)
+    parents = written(build_parents(entries), "parents")
     return OrphanState(entries, parents, probe(references, parents))
 
 
@@ -85,10 +86,10 @@ def advance(state: OrphanState, new_entries: DataFrame, new_references: DataFram
     touched = new_entries.select("key").union(state.entries.join(new_entries.select("entry_id"), "entry_id", "left_semi").select("key")).distinct()
     entries = state.entries.join(new_entries.select("entry_id"), "entry_id", "left_anti").unionByName(new_entries)
     fresh = build_parents(entries.join(touched, "key", "left_semi"))
-    parents = state.parents.join(touched, "key", "left_anti").unionByName(fresh)
+    parents = written(state.parents.join(touched, "key", "left_anti").unionByName(fresh), "parents")
     again = state.references.join(touched, "key", "left_semi").select(*REF_COLUMNS)
     references = state.references.join(touched, "key", "left_anti").unionByName(probe(again, fresh)).unionByName(probe(new_references.select(*REF_COLUMNS), parents))
-    return OrphanState(entries, parents, references)
+    return OrphanState(written(entries, "entries"), parents, written(references, "references"))
 
 
 def orphans(state: OrphanState) -> DataFrame:

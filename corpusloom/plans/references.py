@@ -38,7 +38,7 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p4_found": p4_found, "p4_counts": p4_counts}
 
-_RESOLVE = """CASE WHEN regexp_matches({p}, '//|(^|/)\\.{{1,2}}(/|$)|.+/$') THEN
+_RESOLVE = """CASE WHEN regexp_matches({p}, '//|(^|/)\\.{{1,2}}(/|$)|./$') THEN
   CASE WHEN {p} LIKE '/%' THEN '/' ELSE '' END || array_to_string(list_reduce(
     list_prepend([]::VARCHAR[], list_transform(string_split({p}, '/'), lambda x: [x])),
     lambda a, x: CASE WHEN x[1] IN ('', '.') THEN a
