@@ -120,3 +120,22 @@ def mean_channels(chs: Column) -> Column:
 def first_channel(chs: Column) -> Column:
     """Down-mix by the first channel."""
     return F.get(chs, F.lit(0))
+
+
+def layer_norm(a: Column, eps: float = 1e-5) -> Column:
+    """Centred and divided by the deviation; null for an empty array."""
+    n = F.size(a)
+    mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / n
+    var = F.aggregate(a, F.lit(0.0), lambda s, x: s + F.pow(x.cast("double") - mean, 2)) / n
+    return F.when(n > 0, F.transform(a, lambda x: (x.cast("double") - mean) / F.sqrt(var + eps)))
+
+
+def bias_norm(a: Column, bias: float, log_scale: float) -> Column:
+    """Divided by the root mean square of the distance from a bias, times exp(log_scale)."""
+    ms = F.aggregate(a, F.lit(0.0), lambda s, x: s + F.pow(x.cast("double") - bias, 2)) / F.size(a)
+    return F.when(F.size(a) > 0, F.transform(a, lambda x: x.cast("double") / F.sqrt(ms) * F.exp(F.lit(log_scale))))
+
+
+def convex(a: Column, b: Column, share: float) -> Column:
+    """a + (b - a) * share, element by element."""
+    return F.zip_with(a, b, lambda x, y: x.cast("double") + (y.cast("double") - x.cast("double")) * share)

@@ -79,3 +79,21 @@ def ema(values: Column, decay: float) -> Column:
     """Moving average of an ordered array, from its first value; null for an empty one."""
     first = F.get(values, F.lit(0))
     return F.aggregate(F.slice(values, 2, F.greatest(F.size(values), F.lit(1))), first, lambda s, x: s * decay + x * (1 - decay))
+
+
+def cross_entropy(df: DataFrame, key: str, logit: str, is_target: Column, ignored: Column | None = None) -> DataFrame:
+    """Mean of -log softmax of the target over positions (``key``), one row per class; ignored positions drop out."""
+    kept = df if ignored is None else df.where(~ignored)
+    top = kept.groupBy(key).agg(F.max(logit).alias("_m"))
+    from corpusloom.session import lookup_join
+
+    j = lookup_join(kept, top, key, "inner")
+    per = j.groupBy(key).agg((F.ln(F.sum(F.exp(F.col(logit) - F.col("_m")))) + F.first("_m") - F.sum(F.when(is_target, F.col(logit)).otherwise(0.0))).alias("_l"))
+    return per.agg(F.avg("_l").alias("loss"), F.count(F.lit(1)).alias("n"))
+
+
+def schedule(step: Column, points: list[tuple[float, float]], default: float, training: bool = True) -> Column:
+    """A piecewise-linear function of the step in training, a fixed value otherwise and for null steps."""
+    from corpusloom.functions.mathx import Piecewise
+
+    return F.coalesce(Piecewise(*points).column(step.cast("double")), F.lit(default)) if training else F.lit(default)
