@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where the body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def indexes(n: Column) -> Column:
     """0 to n - 1; empty for 0 and less."""
     return F.when(n > 0, F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)).otherwise(F.array().cast("array<bigint>"))
@@ -98,8 +103,7 @@ def norm(a: Column) -> Column:
 
 
 def l2_normalised(a: Column, least: float = 1e-12) -> Column:
-    n = F.greatest(norm(a), F.lit(least))
-    return F.transform(a, lambda x: x.cast("double") / n)
+    return let(F.greatest(norm(a), F.lit(least)), lambda n: F.transform(a, lambda x: x.cast("double") / n))
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -126,14 +130,18 @@ def layer_norm(a: Column, eps: float = 1e-5) -> Column:
     """Centred and divided by the deviation; null for an empty array."""
     n = F.size(a)
     mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / n
-    var = F.aggregate(a, F.lit(0.0), lambda s, x: s + F.pow(x.cast("double") - mean, 2)) / n
-    return F.when(n > 0, F.transform(a, lambda x: (x.cast("double") - mean) / F.sqrt(var + eps)))
+
+    def centred(m: Column) -> Column:
+        var = F.aggregate(a, F.lit(0.0), lambda s, x: s + F.pow(x.cast("double") - m, 2)) / n
+        return let(F.sqrt(var + eps), lambda d: F.transform(a, lambda x: (x.cast("double") - m) / d))
+
+    return F.when(n > 0, let(mean, centred))
 
 
 def bias_norm(a: Column, bias: float, log_scale: float) -> Column:
     """Divided by the root mean square of the distance from a bias, times exp(log_scale)."""
     ms = F.aggregate(a, F.lit(0.0), lambda s, x: s + F.pow(x.cast("double") - bias, 2)) / F.size(a)
-    return F.when(F.size(a) > 0, F.transform(a, lambda x: x.cast("double") / F.sqrt(ms) * F.exp(F.lit(log_scale))))
+    return F.when(F.size(a) > 0, let(F.sqrt(ms), lambda d: F.transform(a, lambda x: x.cast("double") / d * F.exp(F.lit(log_scale)))))
 
 
 def convex(a: Column, b: Column, share: float) -> Column:
