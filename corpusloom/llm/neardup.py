@@ -13,7 +13,7 @@ each and a similarity of at least ``THRESHOLD`` are found, all of them.
    words is in both prefixes.
 4. Documents of one signature are compared by a 128-bit parity sketch of their words, in vector operations: every word
    in which two documents differ flips at most one bit, so more flipped bits than the threshold allows prove that a
-   pair fails. A signature borne by more than ``BLOCK`` documents is worked off in blocks, spread over tasks.
+   pair fails. (Beyond some 300 words the threshold allows all bits, and candidates go to the exact check at once.) A signature borne by more than ``BLOCK`` documents is worked off in blocks, spread over tasks.
 5. What remains is verified exactly.
 
 Edge cases: null replies, replies of fewer words and empty tables give no rows; a document is never its own partner.
@@ -35,9 +35,15 @@ from corpusloom.session import table, written
 THRESHOLD = Fraction(8, 10)
 MIN_WORDS = 30
 DF_CELLS = 1 << 16
-#: Estimated bearers of a signature beyond which it is lengthened by one more shared word, and the longest signature.
+#: Estimated bearers of a signature beyond which it is lengthened by one more shared word; each further word must be
+#: worth ``GROWTH`` times as many, as the number of signatures grows with it. The longest signature.
 MAX_COST = 3000
+GROWTH = 4
 MAX_SHARED = 6
+#: Documents of at least so many words meet on single words only, as their prefixes are long; those of fewer than one
+#: and a half times as many meet on runs of words. Pairs differ by a factor of at most one and a half in length, so
+#: every pair meets in one way, those in between in both.
+LONG = 80
 #: Documents of one signature that are compared at once; more are spread over tasks in blocks of this size.
 BLOCK = 8192
 
@@ -50,7 +56,10 @@ def words(text):
 
 def _numbered(ids):
     """Sorted word hashes to elements that are unique: the n-th occurrence of a word gets n hashed in."""
-    return F.transform(ids, lambda w, i: F.xxhash64(w, i - F.array_position(ids, w)))
+    places = F.sequence(F.lit(0), F.size(ids) - 1)
+    starts = F.filter(places, lambda i: (i == 0) | (F.get(ids, i) != F.get(ids, i - 1)))
+    ends = F.concat(F.slice(starts, 2, F.size(ids)), F.array(F.size(ids)))
+    return F.flatten(F.zip_with(starts, ends, lambda s, e: F.transform(F.sequence(s, e - 1), lambda i: F.xxhash64(F.get(ids, s), i - s))))
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -79,7 +88,7 @@ def _signer(df: np.ndarray):
     """Function from sorted word hashes to (signature, may be the shorter document) pairs."""
     total = max(1, int(df[-1]))
     log_share = np.log(np.maximum(df[:-1], 1) / total)
-    budget = float(np.log(MAX_COST / total))
+    budget, log_growth = float(np.log(MAX_COST / total)), float(np.log(GROWTH))
     t = float(THRESHOLD)
 
     def sign(ids: np.ndarray) -> tuple[list[int], list[bool]]:
@@ -90,6 +99,7 @@ def _signer(df: np.ndarray):
         lose_short = n - -int(-(THRESHOLD * (n + n) / 2) // 1)
         share = log_share[ids % DF_CELLS]
         order = np.lexsort((ids, share))[: lose_long + MAX_SHARED]
+        most = MAX_SHARED
         # Repeated words are numbered, so that a run of common words is a set.
         toks, logs, seen = [], [], {}
         for w, s in zip(ids[order].tolist(), share[order].tolist()):
@@ -103,13 +113,17 @@ def _signer(df: np.ndarray):
                 here = (key ^ toks[i]) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF
                 here ^= here >> 32
                 c, ok = cost + logs[i], skipped_ok and i < lose_short + depth
-                if c <= budget or depth == MAX_SHARED:
+                if c <= budget + (depth - 1) * log_growth or depth == most:
                     sigs.append(here)
                     short.append(ok)
                 else:
                     grow(i + 1, depth + 1, here, c, ok)
 
-        grow(0, 1, 0, 0.0, True)
+        if 2 * n < 3 * LONG:
+            grow(0, 1, 0, 0.0, True)
+        if n >= LONG:
+            most = 1
+            grow(0, 1, 1, 0.0, True)
         return sigs, short
 
     return sign

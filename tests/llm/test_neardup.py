@@ -36,10 +36,11 @@ def corpus(seed=5):
     return [(i, " ".join(t)) for i, t in enumerate(out)] + [(9001, None), (9002, ""), (9003, "short one"), (9004, "W1! " * 5)]
 
 
-@pytest.mark.parametrize("cost,block", [(3000, 8192), (1, 8192), (20, 8192), (3000, 16)])
-def test_all_pairs(spark, monkeypatch, cost, block):
+@pytest.mark.parametrize("cost,block,long", [(3000, 8192, 80), (1, 8192, 80), (20, 8192, 40), (3000, 16, 80), (20, 8192, 35), (5, 64, 30)])
+def test_all_pairs(spark, monkeypatch, cost, block, long):
     monkeypatch.setattr(N, "MAX_COST", cost)
     monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "LONG", long)
     docs = corpus()
     reps, member = N.classes(spark.createDataFrame(docs, "id long, text string"))
     pairs = {(r["x"], r["y"]) for r in N.similar_representatives(reps).collect()}
@@ -50,6 +51,16 @@ def test_all_pairs(spark, monkeypatch, cost, block):
     assert pairs == want and len(want) > 50
 
 
+def test_very_long_texts(spark):
+    rng = random.Random(1)
+    base = [f"v{rng.randrange(3000)}" for _ in range(30000)]
+    other = base[:26000] + [f"u{i}" for i in range(4000)]
+    far = base[:20000] + [f"u{i}" for i in range(10000)]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(reversed(other))), (3, " ".join(far))], "id long, text string")
+    reps, _ = N.classes(docs)
+    assert sorted(tuple(r) for r in N.similar_representatives(reps).collect()) == [(1, 2), (2, 3)]  # 2 and 3 at exactly 0.8
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 102), (101, 102), (7, 7)], "x long, y long")
     nodes = spark.createDataFrame([(i,) for i in [*range(1, 41), 100, 101, 102, 500]], "id long")
