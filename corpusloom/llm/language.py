@@ -88,7 +88,7 @@ class LanguageModel:
             ws = [w for w in words_of(TAG.sub(" ", text)) if not _CJK.search(w)]
             c = Counter(votes[w] for w in ws if w in votes)
             best = c.most_common(2)
-            if not best or best[0][1] < 2 or (len(best) > 1 and best[1][1] * 3 > best[0][1]):
+            if not best or (len(best) > 1 and best[1][1] * 3 > best[0][1]):
                 continue
             if label == best[0][0] or best[0][1] >= 3:
                 kept.append((best[0][0], ws))
