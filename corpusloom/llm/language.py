@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.paths import is_blank
 from corpusloom.llm.recordings import source_of, source_order
-from corpusloom.llm.replies import reply
+from corpusloom.llm.replies import prompt, reply
 from corpusloom.session import table
 
 LANGUAGES = ("en", "de", "fr", "es", "zh", "ja")
@@ -219,21 +219,21 @@ def detectable(text: str) -> bool:
     return sum(1 for w in clean.split() if any(ch.isalpha() for ch in w)) >= 4
 
 
-def labelled_replies(spark: SparkSession, d: str) -> DataFrame:
+def labelled_turns(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "train_samples")
-    return t.select("row_idx", reply().alias("text"), normal_label(F.col("lang")).alias("label"))
+    return t.select("row_idx", reply().alias("text"), prompt().alias("prompt"), normal_label(F.col("lang")).alias("label"))
 
 
 def fit_model(spark: SparkSession, d: str) -> LanguageModel:
-    """A model fitted on the bounded sample of labelled replies."""
+    """A model fitted on the bounded sample of labelled replies and their prompts."""
     labels = table(spark, d, "train_samples").select(normal_label(F.col("lang")).alias("label")).groupBy("label").count().where("label is not null")
     per = {r[0]: max(1, r[1] // SAMPLE_PER_LANGUAGE) for r in labels.collect() if r[0] in LATIN}  # at most 6 rows
     if not per:
         return LanguageModel.fit([])
     step = F.create_map(*[F.lit(x) for kv in per.items() for x in kv])[F.col("label")]
-    chosen = labelled_replies(spark, d).where(step.isNotNull() & (F.pmod(F.xxhash64("row_idx", F.lit(11)), step) == 0) & F.col("text").isNotNull())
-    rows = chosen.select(F.substring("text", 1, 20000), "label").limit(3 * SAMPLE_PER_LANGUAGE * len(LATIN)).collect()
-    return LanguageModel.fit([(r[0], r[1]) for r in rows])
+    chosen = labelled_turns(spark, d).where(step.isNotNull() & (F.pmod(F.xxhash64("row_idx", F.lit(11)), step) == 0))
+    rows = chosen.select(F.substring("text", 1, 20000), F.substring("prompt", 1, 2000), "label").limit(3 * SAMPLE_PER_LANGUAGE * len(LATIN)).collect()
+    return LanguageModel.fit([(t, r[2]) for r in rows for t in r[:2] if t])
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
