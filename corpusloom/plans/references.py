@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.paths import is_blank, posix_resolve
-from corpusloom.operators.orphans import OrphanState, bootstrap, orphans, snapshot
+from corpusloom.operators.orphans import OrphanState, advance, bootstrap, orphans, snapshot
 from corpusloom.session import table
 
 
@@ -36,7 +38,40 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return snapshot(_state(spark, d))
 
 
-QUERIES = {"p4_found": p4_found, "p4_counts": p4_counts}
+def _quarters(lo, hi) -> list[datetime]:
+    """First days of the quarters after lo, up to the first one after hi."""
+    y, q, out = lo.year, (lo.month - 1) // 3, []
+    while not out or out[-1] <= hi:
+        y, q = (y + 1, 0) if q == 3 else (y, q + 1)
+        out.append(datetime(y, 3 * q + 1, 1))
+    return out
+
+
+def p4_timeline(spark: SparkSession, d: str) -> DataFrame:
+    """Open orphans at the end of every quarter, from a state that is advanced quarter by quarter.
+
+    At the end of a quarter only entries added and removals made before it are known.
+    """
+    refs, entries = audio_references(spark, d).where(F.col("at").isNotNull()), inventory_entries(spark, d).where("added is not null")
+    lo, hi = refs.agg(F.min("at"), F.max("at")).first()
+    if lo is None:
+        return spark.createDataFrame([], "until string, tbl string, kind string, n long")
+    ends = _quarters(lo, hi)
+    if len(ends) > 200:
+        raise ValueError("more than 200 quarters")
+    state, before, out = None, None, None
+    for end in ends:
+        at = F.lit(end).cast("timestamp_ntz")
+        known = entries.where(F.col("added") < at).withColumn("removed", F.when(F.col("removed") < at, F.col("removed")))
+        new = known if before is None else known.where((F.col("added") >= before) | (F.col("removed") >= before))
+        fresh = refs.where(F.col("at") < at) if before is None else refs.where((F.col("at") >= before) & (F.col("at") < at))
+        state = bootstrap(new, fresh) if state is None else advance(state, new, fresh)
+        now = snapshot(state).groupBy("tbl", "kind").agg(F.sum("n").alias("n")).select(F.lit(str(end.date())).alias("until"), "tbl", "kind", "n")
+        out, before = now if out is None else out.unionByName(now), at
+    return out
+
+
+QUERIES = {"p4_found": p4_found, "p4_counts": p4_counts, "p4_timeline": p4_timeline}
 
 _RESOLVE = """CASE WHEN regexp_matches({p}, '//|(^|/)\\.{{1,2}}(/|$)|./$') THEN
   CASE WHEN {p} LIKE '/%' THEN '/' ELSE '' END || array_to_string(list_reduce(
@@ -62,7 +97,16 @@ orphan AS (
   FROM judged WHERE NOT there)
 """
 
+_TIMELINE = _P4.split("judged AS")[0] + """
+ends AS (SELECT unnest(generate_series((SELECT date_trunc('quarter', min(loaded_at)) + INTERVAL 3 MONTH FROM refs), (SELECT date_trunc('quarter', max(loaded_at)) + INTERVAL 3 MONTH FROM refs), INTERVAL 3 MONTH)) AS e),
+judged AS (SELECT e, tbl, rec_id, pos, r.loaded_at, count(i.k) AS n, min(i.added_at) AS first_added,
+    coalesce(bool_or(i.added_at <= r.loaded_at AND (i.removed_at IS NULL OR i.removed_at >= e OR r.loaded_at < i.removed_at)), false) AS there
+  FROM ends JOIN refs r ON r.loaded_at < e LEFT JOIN inv i ON r.k = i.k AND i.added_at < e GROUP BY ALL)
+SELECT strftime(e, '%Y-%m-%d') AS until, tbl, CASE WHEN n = 0 THEN 'missing' WHEN first_added > loaded_at THEN 'late' ELSE 'deleted' END AS kind, count(*) AS n FROM judged WHERE NOT there GROUP BY ALL
+"""
+
 ORACLE = {
+    "p4_timeline": _TIMELINE,
     "p4_found": _P4 + "SELECT DISTINCT tbl, rec_id, pos, kind FROM orphan",
     "p4_counts": _P4 + "SELECT tbl, strftime(loaded_at, '%Y-%m') AS month, kind, count(*) AS n FROM orphan GROUP BY ALL",
 }
