@@ -298,4 +298,15 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
-ORACLE: dict[str, str] = {}
+#: All pairs by counting common words, numbered when repeated.
+ORACLE = {
+    "p2_found": r"""
+WITH r AS (SELECT row_idx, list_filter(messages, lambda m: m.role = 'assistant')[1].content AS t FROM train_samples),
+w AS (SELECT row_idx, list_filter(regexp_split_to_array(regexp_replace(lower(t), '[^\p{L}\p{N}\p{Z}\s\x{85}\x{1C}-\x{1F}]+', '', 'g'), '[\s\p{Z}\x{85}\x{1C}-\x{1F}]+'), lambda x: x <> '') AS w FROM r WHERE t IS NOT NULL),
+d AS (SELECT row_idx, w, len(w) AS n FROM w WHERE len(w) >= 30),
+u AS (SELECT row_idx, unnest(w) AS x FROM d),
+k AS (SELECT row_idx, x, row_number() OVER (PARTITION BY row_idx, x) AS k FROM u),
+c AS (SELECT a.row_idx AS row_idx_a, b.row_idx AS row_idx_b, count(*) AS c FROM k a JOIN k b ON a.x = b.x AND a.k = b.k AND a.row_idx < b.row_idx GROUP BY 1, 2)
+SELECT row_idx_a, row_idx_b FROM c JOIN d a ON a.row_idx = row_idx_a JOIN d b ON b.row_idx = row_idx_b WHERE 20 * c >= 8 * (a.n + b.n)
+""",
+}
