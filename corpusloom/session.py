@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A key holding at least one row in so many counts as hot; there can be no more hot keys than this.
 HOT_ONE_IN = 1000
+#: Tables that ``written`` has made in this process.
+_WRITTEN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +44,19 @@ def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataF
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the intermediates written so far, once nothing that reads them is needed any more; returns how many."""
+    n = 0
+    while _WRITTEN:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+    return n
+
+
 def hot_keys(df: DataFrame, key: str, one_in: int = HOT_ONE_IN) -> list:
     """Values of ``key`` that hold at least one row in ``one_in``; hence at most ``one_in`` values, whatever the size.
 

@@ -19,6 +19,14 @@ def test_lookup_join_hot(spark):
     assert lookup_join(facts, lookup, "k", "inner").count() == 2001
 
 
+def test_written_and_released(spark):
+    from corpusloom import session
+
+    df = session.written(spark.range(5), "t")
+    assert df.count() == 5 and "parquet" in df._jdf.queryExecution().executedPlan().toString().lower()
+    assert session.release(spark) >= 1 and session.release(spark) == 0
+
+
 def test_options_encodings(spark):
     rows = [
         (0, '["x", "y"]', 1, None), (1, '[{"content": "x", "label": "A"}, {"content": "y", "label": "B"}]', None, "A"),
