@@ -80,3 +80,18 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, key: str, how: str = "left"
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     small = lookup.where(F.col(key).isin(hot))
     return facts.where(~is_hot).join(lookup.where(~F.col(key).isin(hot)), key, how).unionByName(facts.where(is_hot).join(F.broadcast(small), key, how))
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, salt: str, salts: int = 32, hot: list | None = None) -> DataFrame:
+    """Inner join of many rows to many rows on a key, when one key may hold a third of either side.
+
+    Rows of hot keys of the left side (at most ``HOT_ONE_IN`` keys) are dealt over ``salts`` groups by a hash of the
+    column ``salt``; the right side's rows of these keys go to every group. Other keys join by shuffle.
+    """
+    hot = hot_keys(left, key) if hot is None else hot
+    if not hot:
+        return left.join(right, key)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    dealt = left.where(is_hot).withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)))
+    copied = right.where(is_hot).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return left.where(~is_hot).join(right.where(~is_hot), key).unionByName(dealt.join(copied, [key, "_salt"]).drop("_salt"))

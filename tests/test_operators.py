@@ -19,6 +19,16 @@ def test_lookup_join_hot(spark):
     assert lookup_join(facts, lookup, "k", "inner").count() == 2001
 
 
+def test_salted_join(spark):
+    from corpusloom.session import salted_join
+
+    left = spark.range(4000).select(F.when(F.col("id") < 2000, 7).when(F.col("id") < 3000, F.col("id")).alias("k"), "id")
+    right = spark.createDataFrame([(7, "a"), (7, "b"), (2500, "c"), (None, "d"), (9999, "e")], "k long, v string")
+    got = salted_join(left, right, "k", "id")
+    assert got.groupBy("v").count().orderBy("v").collect() == [("a", 2000), ("b", 2000), ("c", 1)] and got.distinct().count() == 4001
+    assert salted_join(left, right, "k", "id", hot=[]).count() == 4001
+
+
 def test_written_and_released(spark):
     from corpusloom import session
 
