@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.replies import reply
-from corpusloom.session import table, written
+from corpusloom.session import hot_keys, lookup_join, salted_join, table, written
 
 THRESHOLD = Fraction(8, 10)
 MIN_WORDS = 30
@@ -67,9 +67,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hashed = docs.where(F.col("text").isNotNull()).select("id", F.array_sort(F.transform(words(F.col("text")), lambda w: F.xxhash64(w))).alias("ids")).where(F.size("ids") >= MIN_WORDS)
     hashed = written(hashed, "p2-words")
     # The key is the multiset itself in 128 bits of hash.
-    keyed = hashed.select("id", "ids", F.xxhash64("ids").alias("h1"), F.xxhash64(F.lit(1), F.reverse("ids")).alias("h2"))
-    group = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    member = written(keyed.select("id", "h1", "h2").join(group, ["h1", "h2"]).select("id", "rep"), "p2-members")
+    keyed = hashed.select("id", F.concat_ws("|", F.xxhash64("ids"), F.xxhash64(F.lit(1), F.reverse("ids"))).alias("h"))
+    group = keyed.groupBy("h").agg(F.min("id").alias("rep"))
+    member = written(lookup_join(keyed, group, "h", "inner").select("id", "rep"), "p2-members")
     reps = hashed.join(member.where("id = rep").select("id"), "id").select(F.col("id").alias("rep"), "ids")
     return reps, member
 
@@ -262,10 +262,12 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of samples whose replies are similar enough, copies included."""
     reps, member = classes(_docs(spark, d))
-    pairs = similar_representatives(reps)
+    pairs = written(similar_representatives(reps), "p2-pairs")
     m = member.select("id", "rep")
-    between = pairs.join(m.select(F.col("id").alias("i"), F.col("rep").alias("x")), "x").join(m.select(F.col("id").alias("j"), F.col("rep").alias("y")), "y").select("i", "j")
-    inside = m.select(F.col("id").alias("i"), "rep").join(m.select(F.col("id").alias("j"), "rep"), "rep").where("i < j").select("i", "j")
+    hot = hot_keys(m, "rep")  # classes of very many copies are salted
+    left = salted_join(m.select(F.col("id").alias("i"), F.col("rep").alias("x")), pairs, "x", "i", hot=hot)
+    between = salted_join(m.select(F.col("id").alias("j"), F.col("rep").alias("y")), left, "y", "j", hot=hot).select("i", "j")
+    inside = salted_join(m.select(F.col("id").alias("i"), "rep"), m.select(F.col("id").alias("j"), "rep"), "rep", "i", hot=hot).where("i < j").select("i", "j")
     return between.unionByName(inside).select(F.least("i", "j").alias("row_idx_a"), F.greatest("i", "j").alias("row_idx_b")).distinct()
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.paths import is_blank
-from corpusloom.session import lookup_join, table, written
+from corpusloom.session import lookup_join, salted_join, table, written
 
 K = 1
 #: Evaluation strings from which the places to cut are chosen.
@@ -202,7 +202,7 @@ def mentions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _matches(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs (test path, train path) that name one recording: the segment join, then an exact check of the identity."""
+    """Pairs (test path, train path, identity) that name one recording: the segment join, then an exact check of the identity."""
     sources = source_order(spark, d)
     items, rows = mentions(spark, d)
     paths = items.select(F.lit(0).alias("side"), "path").union(rows.select(F.lit(1), "path")).distinct()
@@ -214,17 +214,19 @@ def _matches(spark: SparkSession, d: str) -> DataFrame:
     l = left.select(by.alias("g"), F.col("path").alias("item_path"), F.col("name").alias("a"), "identity")
     r = right.select(by.alias("g"), F.col("path").alias("train_path"), F.col("name").alias("b"), F.col("identity").alias("train_identity"))
     pairs = near.join(l, ["g", "a"]).join(r, ["g", "b"])
-    return pairs.where("identity = train_identity").select("item_path", "train_path", "source", "distance")
+    return pairs.where("identity = train_identity").select("item_path", "train_path", "identity", "source", "distance")
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of a test item and a training sample that name the same recording."""
+    """Pairs of a test item and a training sample that name the same recording.
+
+    Matched paths meet again on the identity of the recording; a recording that a third of the samples name is salted.
+    """
     items, rows = mentions(spark, d)
-    pairs = _matches(spark, d)
-    by_path = items.select("item_id", "split", F.col("path").alias("item_path")).join(pairs, "item_path")
-    grouped = by_path.groupBy("train_path").agg(F.collect_set(F.struct("item_id", "split", "source")).alias("items"))
-    hit = lookup_join(rows.withColumnRenamed("path", "train_path"), grouped, "train_path", "inner")
-    return hit.select("row_idx", F.explode("items").alias("i")).select("i.item_id", "row_idx", "i.split", "i.source").distinct()
+    pairs = written(_matches(spark, d), "p1-matches")
+    named_items = items.join(pairs.select(F.col("item_path").alias("path"), "identity", "source").distinct(), "path").select("item_id", "split", "identity", "source").distinct()
+    named_rows = lookup_join(rows, pairs.select(F.col("train_path").alias("path"), "identity").distinct(), "path", "inner").select("row_idx", "identity").distinct()
+    return salted_join(named_rows, named_items, "identity", "row_idx").select("item_id", "row_idx", "split", "source").distinct()
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -73,3 +73,17 @@ def test_words(spark):
 
     df = spark.createDataFrame([("It's  a-b C​d — Été　x_1",)], "t string")
     assert df.select(N.words(F.col("t"))).first()[0] == ["its", "ab", "cd", "été", "x1"]
+
+
+def test_hot_class(spark, monkeypatch, tmp_path):
+    """A third of the replies is one text; all its pairs and those with its relatives come out."""
+    from corpusloom import session
+
+    monkeypatch.setattr(N, "hot_keys", lambda df, key: session.hot_keys(df, key, one_in=10))
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join(base)] * 30 + [" ".join([*base[:37], "a", "b", str(i)]) for i in range(3)] + [" ".join(f"z{i}_{k}" for k in range(35)) for i in range(60)]
+    rows = [(i, [("user", "q"), ("assistant", t)]) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "row_idx long, messages array<struct<role:string,content:string>>").write.parquet(str(tmp_path / "train_samples.parquet"))
+    assert session.hot_keys(N.classes(N._docs(spark, str(tmp_path)))[1], "rep", one_in=10) == [0]
+    got = {tuple(r) for r in N.p2_found(spark, str(tmp_path)).collect()}
+    assert got == {(i, j) for i in range(33) for j in range(i + 1, 33)}
