@@ -62,7 +62,10 @@ def weighted_layers(df: DataFrame, key: str, weight: str, value: str) -> DataFra
 
 
 def online_cutoff(values: Column, p: float) -> Column:
-    """Fold of the moving cut-off that a share ``p`` of values should exceed: (cutoff, n, above)."""
+    """Fold of the moving cut-off that a share ``p`` of values should exceed: (cutoff, n, above).
+
+    The fold depends on the order, so an array holds a whole sequence; for sequences without bound there is the
+    streaming form, which keeps three numbers per key."""
     start = F.struct(F.lit(0.0).alias("cutoff"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("above"))
 
     def step(s: Column, x: Column) -> Column:
@@ -75,6 +78,13 @@ def online_cutoff(values: Column, p: float) -> Column:
     return F.aggregate(values, start, step)
 
 
+def ema_per_key(df: DataFrame, key: str, t: str, value: str, length: str, decay: float) -> DataFrame:
+    """Moving average at the end of each sequence, begun with its first value, as a sum of weighted values: partial
+    sums instead of a fold, so that no sequence is gathered."""
+    weight = F.pow(F.lit(decay), F.col(length) - 1 - F.col(t)) * F.when(F.col(t) == 0, 1.0).otherwise(1 - decay)
+    return df.groupBy(key).agg(F.sum(weight * F.col(value)).alias("ema"))
+
+
 def ema(values: Column, decay: float) -> Column:
     """Moving average of an ordered array, from its first value; null for an empty one."""
     first = F.get(values, F.lit(0))

@@ -58,7 +58,7 @@ def downsample_weighted(s, d):
 
 
 def upsample_repeat(s, d):
-    e = ev(s, d).where("user_id < 40").select("user_id", "t", "value")
+    e = ev(s, d).select("user_id", "t", "value")
     cut = W.lengths(e, "user_id", "t").select("user_id", (F.col("length") * 2 - 1).alias("length"))
     return W.upsample(e, "user_id", "t", 2, cut)
 
@@ -114,7 +114,7 @@ def mask_downsample(s, d):
 
 def _two(s, d):
     e = ev(s, d).select("user_id", "t", "value")
-    return e.where("user_id < 75"), e.where("user_id < 75").withColumn("user_id", F.col("user_id") + 1)
+    return e, e.withColumn("user_id", F.col("user_id") + 1)
 
 
 def align_pad_outer(s, d):
@@ -172,7 +172,7 @@ def block_mask_md5(s, d):
 
 
 def feature_mask_md5(s, d):
-    v = table(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "x")).where("dim % 16 = 0")
+    v = table(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "x"))
     return v.select("vec_id", F.col("dim").cast("bigint").alias("dim"), masking.feature_mask(F.col("vec_id"), F.col("dim"), 16, 48, 0.875, 7).alias("keep"))
 
 
@@ -243,8 +243,8 @@ def kmeans(s, d):
 
 
 def codebook_ema(s, d):
-    e = ev(s, d).where("t < 64").groupBy("user_id").agg(A.ordered(F.collect_list(F.struct("t", F.col("value").alias("v")))).alias("a"))
-    return e.select("user_id", r(stats.ema(F.col("a"), 0.9), "ema"))
+    e = ev(s, d)
+    return stats.ema_per_key(W.join_per_key(e, W.lengths(e, "user_id", "t"), "user_id"), "user_id", "t", "value", "length", 0.9).select("user_id", r(F.col("ema"), "ema"))
 
 
 def code_gather(s, d):
@@ -297,12 +297,14 @@ def bce_eval(s, d):
 
 
 def online_cutoff(s, d):
-    a = ev(s, d).where("t < 64").groupBy("user_id").agg(A.ordered(F.collect_list(F.struct("t", F.col("value").alias("v")))).alias("a"))
+    a = ev(s, d).groupBy("user_id").agg(A.ordered(F.collect_list(F.struct("t", F.col("value").alias("v")))).alias("a"))
     return a.select("user_id", stats.online_cutoff(F.col("a"), 0.3).alias("o")).select("user_id", r(F.col("o.cutoff"), "cutoff"), "o.n", "o.above")
 
 
 def stop_suffix(s, d):
-    last = ev(s, d).groupBy("user_id").agg(A.ordered(F.array_sort(F.collect_list(F.struct("t", F.col("event_type").alias("v"))))).alias("a"))
+    e = ev(s, d)
+    tail = W.join_per_key(e, W.lengths(e, "user_id", "t"), "user_id").where("t >= length - 2")
+    last = tail.groupBy("user_id").agg(A.ordered(F.array_sort(F.collect_list(F.struct("t", F.col("event_type").alias("v"))))).alias("a"))
     stops = [F.array(F.lit("view"), F.lit("click")), F.array(F.lit("error"))]
     return last.select("user_id", A.stopped(F.col("a"), stops).alias("stopped"))
 
@@ -358,7 +360,7 @@ ORACLE = {
     "chunk_pad": _EV + _LEN + " SELECT user_id, n AS length, CAST(ceil(n / 16) AS BIGINT) AS n_chunks, (16 - n % 16) % 16 AS pad FROM len",
     "frame_stack": _EV + _LEN + ", g AS (SELECT user_id, n, unnest(range(CAST(ceil(n / 5) * 5 AS BIGINT))) AS i FROM len) SELECT g.user_id, i // 5 AS s, i % 5 AS k, coalesce(value, 0.0) AS value FROM g LEFT JOIN ev ON ev.user_id = g.user_id AND ev.t = g.i",
     "downsample_weighted": _EV + _LEN + ", g AS (SELECT user_id, n, unnest(range(CAST(ceil(n / 3) * 3 AS BIGINT))) AS i FROM len) SELECT g.user_id, i // 3 AS s, round(sum(value * [0.2, 0.3, 0.5][i % 3 + 1]), 6) AS value FROM g JOIN ev ON ev.user_id = g.user_id AND ev.t = least(g.i, n - 1) GROUP BY 1, 2",
-    "upsample_repeat": _EV + _LEN + " SELECT ev.user_id, t * 2 + k AS t, value FROM ev JOIN len USING (user_id), (VALUES (0), (1)) v(k) WHERE user_id < 40 AND t * 2 + k < n * 2 - 1",
+    "upsample_repeat": _EV + _LEN + " SELECT ev.user_id, t * 2 + k AS t, value FROM ev JOIN len USING (user_id), (VALUES (0), (1)) v(k) WHERE t * 2 + k < n * 2 - 1",
     "every_second": _EV + " SELECT user_id, t, event_id FROM ev WHERE t % 2 = 0",
     "shift_right": _EV + ", l AS (SELECT user_id, t, CASE WHEN event_type = 'error' THEN -100 ELSE event_id END AS l FROM ev), s AS (SELECT user_id, t, lag(l, 1, 1) OVER (PARTITION BY user_id ORDER BY t) AS x FROM l) SELECT user_id, t, CASE WHEN x = -100 THEN 0 ELSE x END AS shifted FROM s",
     "chunk_causal_agg": _EV + " SELECT user_id, t, round(sum(value) OVER w, 6) AS seen_sum, count(*) OVER w AS seen FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t // 4 RANGE BETWEEN 2 PRECEDING AND CURRENT ROW)",
@@ -371,7 +373,7 @@ ORACLE = {
     "left_context": _EV + " SELECT user_id, t, array_to_string(list(event_id) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), ',') AS context FROM ev",
     "delay_align": _EV + " SELECT a.user_id, b.t, a.event_id AS a, CASE WHEN b.event_id % 5 > 0 THEN b.event_id ELSE -100 END AS b FROM ev a JOIN ev b ON a.user_id = b.user_id AND a.t = b.t + 3",
     "mask_downsample": _EV + " SELECT user_id, t // 4 AS s, avg(CAST(value > 20 AS DOUBLE)) >= 0.5 AS any_half, bool_and(value > 20) AS all_masked FROM ev GROUP BY 1, 2 HAVING count(*) = 4",
-    "align_pad_outer": _EV + ", a AS (SELECT user_id, t, value FROM ev WHERE user_id < 75), b AS (SELECT user_id + 1 AS user_id, t, value FROM ev WHERE user_id < 75) SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.t, b.t) AS t, coalesce(a.value, 0) AS a, coalesce(b.value, 0) AS b FROM a FULL JOIN b ON a.user_id = b.user_id AND a.t = b.t",
+    "align_pad_outer": _EV + ", a AS (SELECT user_id, t, value FROM ev), b AS (SELECT user_id + 1 AS user_id, t, value FROM ev) SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.t, b.t) AS t, coalesce(a.value, 0) AS a, coalesce(b.value, 0) AS b FROM a FULL JOIN b ON a.user_id = b.user_id AND a.t = b.t",
     "align_ratio_fold": _EV + " SELECT user_id, t // 2 AS t, coalesce(max(event_id) FILTER (WHERE t % 2 = 0), -100) AS first, coalesce(max(event_id) FILTER (WHERE t % 2 = 1), -100) AS second FROM ev GROUP BY 1, 2",
     "interp_nearest": _EV + _LEN + ", g AS (SELECT user_id, n, unnest(range(n * 3 // 2)) AS o FROM len) SELECT g.user_id, o AS t, event_id FROM g JOIN ev ON ev.user_id = g.user_id AND ev.t = o * n // (n * 3 // 2)",
     "backfill_dims": "SELECT label, " + ", ".join(f"arg_max(CAST(embedding[{i + 1}] AS DOUBLE), vec_id) FILTER (WHERE vec_id % {i + 2} = 0) AS d{i}" for i in range(4)) + " FROM embeddings GROUP BY 1",
@@ -380,7 +382,7 @@ ORACLE = {
     "pad_mask": "SELECT row_idx, array_to_string(list_transform([0, 1, 2, 3], lambda i: CASE WHEN i >= coalesce(len(list_filter(audios, lambda a: a IS NOT NULL)), 0) THEN 'true' ELSE 'false' END), ',') AS mask FROM train_samples",
     "pad_to_max": "WITH a AS (SELECT row_idx, list_transform(audios, lambda x: coalesce(length(x), 0)) AS a, (SELECT max(len(audios)) FROM train_samples) AS w FROM train_samples WHERE audios IS NOT NULL) SELECT row_idx, array_to_string(list_concat(a, list_transform(range(CAST(w - len(a) AS BIGINT)), lambda i: CAST(-100 AS BIGINT))), ',') AS right, array_to_string(list_concat(list_transform(range(CAST(w - len(a) AS BIGINT)), lambda i: CAST(0 AS BIGINT)), a), ',') AS left FROM a",
     "block_mask_md5": _EV + _LEN + f" SELECT ev.user_id, t, {h60('42', 'ev.user_id', 't // 5')} % 1000000 < 400000 AND t // 5 < n // 5 AS masked FROM ev JOIN len USING (user_id)",
-    "feature_mask_md5": f"""WITH v AS (SELECT vec_id, unnest([0, 16, 32, 48]) AS dim, {h60('7', "'a'", 'vec_id')} % 1000000 < 875000 AS a, {h60('7', "'b'", 'vec_id')} % 1000000 < 875000 AS b FROM embeddings) SELECT vec_id, CAST(dim AS BIGINT) AS dim, CASE WHEN dim < 16 THEN 1 WHEN dim < 48 THEN CAST(a AS INT) ELSE CAST(a AND b AS INT) END AS keep FROM v""",
+    "feature_mask_md5": f"""WITH v AS (SELECT vec_id, unnest(range(64)) AS dim, {h60('7', "'a'", 'vec_id')} % 1000000 < 875000 AS a, {h60('7', "'b'", 'vec_id')} % 1000000 < 875000 AS b FROM embeddings) SELECT vec_id, CAST(dim AS BIGINT) AS dim, CASE WHEN dim < 16 THEN 1 WHEN dim < 48 THEN CAST(a AS INT) ELSE CAST(a AND b AS INT) END AS keep FROM v""",
     "masked_mean": _EV + _LEN + " SELECT ev.user_id, round(avg(value) FILTER (WHERE t < floor(n * 0.8)), 6) AS mean FROM ev JOIN len USING (user_id) GROUP BY 1",
     "layer_weighted_sum": "WITH l AS (SELECT user_id, event_id % 6 AS layer, avg(value) AS v FROM events GROUP BY 1, 2) SELECT user_id, round(sum(exp(layer / 10) * v) / sum(exp(layer / 10)), 6) AS mixed FROM l GROUP BY 1",
     "entropy": _SOFT + " SELECT user_id, round(sum(-p * ln(p + 1e-20)), 6) AS entropy FROM sm GROUP BY 1",
@@ -391,7 +393,7 @@ ORACLE = {
     "vq_histogram": _HIST + " SELECT code, n FROM h",
     "vq_smooth": _HIST + " SELECT code, round((n + 1e-5) / (sum(n) OVER () + count(*) OVER () * 1e-5) * sum(n) OVER (), 6) AS smooth FROM h",
     "kmeans_step": _BOOK + ", l AS (SELECT code, generate_subscripts(v, 1) - 1 AS dim, unnest(v) AS x FROM asg JOIN e USING (vec_id)) SELECT code, dim, round(avg(x), 6) AS mean, count(*) AS n FROM l GROUP BY 1, 2",
-    "codebook_ema": _EV + ", a AS (SELECT user_id, list(value ORDER BY t) AS a FROM ev WHERE t < 64 GROUP BY 1) SELECT user_id, round(list_reduce(a, lambda s, x: s * 0.9 + x * (1 - 0.9)), 6) AS ema FROM a",
+    "codebook_ema": _EV + ", a AS (SELECT user_id, list(value ORDER BY t) AS a FROM ev GROUP BY 1) SELECT user_id, round(list_reduce(a, lambda s, x: s * 0.9 + x * (1 - 0.9)), 6) AS ema FROM a",
     "code_gather": _BOOK + " SELECT asg.vec_id, code, round(e.v[1], 6) AS first FROM asg JOIN e ON e.vec_id = code",
     "cosine_topk": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id AS query, b.vec_id, round(list_cosine_similarity(a.v, b.v), 9) AS c FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, vec_id) AS rank FROM s) SELECT query, rank, vec_id, round(c, 6) AS cosine FROM k WHERE rank <= 5",
     "distance_bucket": "WITH n AS (SELECT unnest(range(-300, 301)) AS d), b AS (SELECT d, CASE WHEN d > 0 THEN 16 ELSE 0 END + CASE WHEN abs(d) < 8 THEN abs(d) ELSE least(8 + CAST(floor(ln(abs(d) / 8.0) / ln(128 / 8.0) * 8) AS BIGINT), 15) END AS bucket FROM n) SELECT d, bucket, round(sin(bucket), 6) AS bias FROM b",
@@ -407,7 +409,7 @@ ORACLE = {
     "online_cutoff": """WITH RECURSIVE ev AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t FROM events),
       f(user_id, t, cutoff, n, above) AS (SELECT DISTINCT user_id, CAST(-1 AS BIGINT), 0.0::DOUBLE, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM ev UNION ALL
         SELECT f.user_id, f.t + 1, CASE WHEN ((above + CAST(value > cutoff AS INT)) / (n + 1) - 0.3::DOUBLE > 0) = (value > cutoff) THEN value * abs((above + CAST(value > cutoff AS INT)) / (n + 1) - 0.3::DOUBLE) + cutoff * (1 - abs((above + CAST(value > cutoff AS INT)) / (n + 1) - 0.3::DOUBLE)) ELSE cutoff END, n + 1, above + CAST(value > cutoff AS INT)
-        FROM f JOIN ev ON ev.user_id = f.user_id AND ev.t = f.t + 1 WHERE f.t < 63)
+        FROM f JOIN ev ON ev.user_id = f.user_id AND ev.t = f.t + 1)
       SELECT user_id, round(cutoff, 6) AS cutoff, n, above FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC) AS k FROM f) WHERE k = 1""",
     "stop_suffix": _EV + ", a AS (SELECT user_id, list(event_type ORDER BY t) AS a FROM ev GROUP BY 1) SELECT user_id, coalesce(a[-2:] = ['view', 'click'], false) OR a[-1] = 'error' AS stopped FROM a",
     "array_ops": "WITH a AS (SELECT item_id, list_transform(options, lambda o: length(o)) AS a FROM test_items WHERE len(options) > 0) SELECT item_id, array_to_string(list_transform([1, 2, 3], lambda i: coalesce(a[i], 0)), ',') AS fit, array_to_string(flatten(list_transform(a, lambda x: [x, x])), ',') AS repeated, CASE WHEN len(a) > 1 THEN CAST(a[2] AS VARCHAR) || ',' ELSE '' END || CAST(a[1] AS VARCHAR) AS gathered, array_to_string(list_concat(a[1:1], [-1, -2], a[2:]), ',') AS spliced, array_to_string(list_transform(range(CAST(ceil(len(a) / 2) AS BIGINT)), lambda i: CAST(a[i * 2 + 1] AS VARCHAR) || '+' || CAST(coalesce(a[i * 2 + 2], 0) AS VARCHAR)), ',') AS chunks FROM a",

@@ -26,7 +26,7 @@ def json_fields(s, d):
 
 def splice_padded(s, d):
     """Spliced rows as arrays: labels padded at the end with -100 (training), attention padded in front with 0."""
-    e = ev(s, d).where("user_id < 30 and t < 20").withColumn("ins", F.when(F.col("event_type") == "view", 2).otherwise(0))
+    e = ev(s, d).withColumn("ins", F.when(F.col("event_type") == "view", 2).otherwise(0))
     sp = W.splice(e, "user_id", "t", "ins").join(e.select("user_id", "t", "event_id"), ["user_id", "t"])
     lab = F.when(F.col("inserted_frame").isNull(), F.col("event_id")).otherwise(-100)
     rows = sp.groupBy("user_id").agg(A.ordered(F.collect_list(F.struct("pos", lab.alias("v")))).alias("labels"), F.count(F.lit(1)).alias("n"))
@@ -38,7 +38,7 @@ def splice_padded(s, d):
 
 def layer_concat(s, d):
     """Vectors of the layers of an id side by side."""
-    v = table(s, d, "embeddings").select("label", "vec_id", F.slice("embedding", 1, 2).alias("e")).where("vec_id < 100")
+    v = table(s, d, "embeddings").select("label", "vec_id", F.slice("embedding", 1, 2).alias("e"))
     g = v.groupBy("label").agg(F.flatten(A.ordered(F.collect_list(F.struct("vec_id", F.col("e").alias("v"))))).alias("c"))
     return g.select("label", F.size("c").cast("bigint").alias("width"), r(F.aggregate(F.transform("c", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x), "checksum"))
 
@@ -97,11 +97,11 @@ QUERIES = {f.__name__: f for f in (chat_render, json_fields, splice_padded, laye
 ORACLE = {
     "chat_render": "WITH t AS (SELECT row_idx, coalesce(array_to_string(list_transform(messages, lambda m: '<|turn|>' || coalesce(m.role, '') || chr(10) || coalesce(m.content, '') || '<|/turn|>'), chr(10)), '') AS text FROM train_samples WHERE messages IS NOT NULL) SELECT row_idx, md5(text) AS digest, CAST(strlen(text) AS BIGINT) AS n_tokens FROM t",
     "json_fields": "SELECT event_id, CAST(props::JSON->>'$.k' AS BIGINT) AS k, '{\"event_id\":' || event_id || ',\"k\":' || (props::JSON->>'$.k') || '}' AS j FROM events",
-    "splice_padded": _EV + """, e AS (SELECT *, CASE WHEN event_type = 'view' THEN 2 ELSE 0 END AS ins FROM ev WHERE user_id < 30 AND t < 20),
+    "splice_padded": _EV + """, e AS (SELECT *, CASE WHEN event_type = 'view' THEN 2 ELSE 0 END AS ins FROM ev),
       x AS (SELECT user_id, t, 0 AS k, event_id AS v FROM e UNION ALL SELECT user_id, t, unnest(range(1, ins + 1)), -100 FROM e),
       g AS (SELECT user_id, list(v ORDER BY t, k) AS v, count(*) AS n FROM x GROUP BY 1), w AS (SELECT max(n) AS w FROM g)
       SELECT user_id, array_to_string(list_concat(v, list_transform(range(w - n), lambda i: CAST(-100 AS BIGINT))), ',') AS labels, array_to_string(list_concat(list_transform(range(w - n), lambda i: 0), list_transform(range(n), lambda i: 1)), ',') AS attention FROM g, w""",
-    "layer_concat": "WITH g AS (SELECT label, flatten(list(CAST(embedding[1:2] AS DOUBLE[]) ORDER BY vec_id)) AS c FROM embeddings WHERE vec_id < 100 GROUP BY 1) SELECT label, CAST(len(c) AS BIGINT) AS width, round(list_sum(list_transform(c, lambda x, i: x * i)), 6) AS checksum FROM g",
+    "layer_concat": "WITH g AS (SELECT label, flatten(list(CAST(embedding[1:2] AS DOUBLE[]) ORDER BY vec_id)) AS c FROM embeddings GROUP BY 1) SELECT label, CAST(len(c) AS BIGINT) AS width, round(list_sum(list_transform(c, lambda x, i: x * i)), 6) AS checksum FROM g",
     "vector_norms": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT *, list_sum(v) / len(v) AS mean, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e) SELECT vec_id, round(n, 6) AS norm, round(v[1] / n, 6) AS unit, round((v[1] - mean) / sqrt(list_sum(list_transform(v, lambda x: (x - mean) * (x - mean))) / len(v) + 1e-5), 6) AS layer, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: (x - 0.1::DOUBLE) * (x - 0.1::DOUBLE))) / len(v)) * exp(0.5), 6) AS bias, round(v[1] + (v[1] / n - v[1]) * 0.25, 6) AS bypass FROM m",
     "commitment_loss": _BOOK + " SELECT round(avg(distance / 64), 6) AS loss, count(*) AS n FROM asg",
     "cross_entropy": "WITH e AS (SELECT label, CAST(embedding[1:10] AS DOUBLE[]) AS v FROM embeddings WHERE label <> 3) SELECT round(avg(ln(list_sum(list_transform(v, lambda x: exp(x)))) - v[label + 1]), 6) AS loss, count(*) AS n FROM e",
