@@ -21,7 +21,10 @@ BLOCK = 4096
 
 
 def frame_index(df: DataFrame, key: str, ts: str, tie: str, bucket: str = "day", name: str = "t") -> DataFrame:
-    """Adds the dense 0-based place of each row in its sequence, ordered by (ts, tie)."""
+    """Adds the dense 0-based place of each row in its sequence, ordered by (ts, tie).
+
+    Rows without a key or a time have no place and drop out.
+    """
     b = df.withColumn("_b", F.date_trunc(bucket, ts))
     counts = b.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_o", F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

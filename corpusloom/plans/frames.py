@@ -10,7 +10,7 @@ from corpusloom.functions import mathx as M
 from corpusloom.operators import frames as W
 from corpusloom.operators import masking, stats, vq
 from corpusloom.plans.corpus import h60
-from corpusloom.session import table
+from corpusloom.session import table, written
 
 #: Rounding that absorbs the order of summation.
 R = 6
@@ -21,6 +21,11 @@ def ev(s: SparkSession, d: str) -> DataFrame:
     return W.frame_index(e, "user_id", "ts", "event_id")
 
 
+def framed(s: SparkSession, d: str) -> DataFrame:
+    """The same, written once, for queries that read the frames several times."""
+    return written(ev(s, d), "frames")
+
+
 def r(c, alias):
     return F.round(c, R).alias(alias)
 
@@ -30,17 +35,17 @@ def frame_places(s, d):
 
 
 def label_mask(s, d):
-    e = ev(s, d)
+    e = framed(s, d)
     pairs = W.pair_markers(e, "user_id", "t", F.col("event_type") == "signup", F.col("event_type") == "purchase")
     return W.label_mask(e, "user_id", "t", "event_id", pairs, 1).select("user_id", "t", F.col("label").cast("bigint").alias("label"))
 
 
 def marker_pairs(s, d):
-    return W.pair_markers(ev(s, d), "user_id", "t", F.col("event_type") == "signup", F.col("event_type") == "purchase").select("user_id", F.col("k").cast("bigint").alias("k"), "start_t", "end_t")
+    return W.pair_markers(framed(s, d), "user_id", "t", F.col("event_type") == "signup", F.col("event_type") == "purchase").select("user_id", F.col("k").cast("bigint").alias("k"), "start_t", "end_t")
 
 
 def splice_offsets(s, d):
-    e = ev(s, d).withColumn("ins", F.when(F.col("event_type") == "view", F.pmod("event_id", F.lit(4))).otherwise(0))
+    e = framed(s, d).withColumn("ins", F.when(F.col("event_type") == "view", F.pmod("event_id", F.lit(4))).otherwise(0))
     return W.splice(e, "user_id", "t", "ins").select("user_id", F.col("pos").cast("bigint").alias("pos"), "t", "inserted_frame")
 
 
@@ -58,7 +63,7 @@ def downsample_weighted(s, d):
 
 
 def upsample_repeat(s, d):
-    e = ev(s, d).select("user_id", "t", "value")
+    e = framed(s, d).select("user_id", "t", "value")
     cut = W.lengths(e, "user_id", "t").select("user_id", (F.col("length") * 2 - 1).alias("length"))
     return W.upsample(e, "user_id", "t", 2, cut)
 
@@ -73,15 +78,15 @@ def shift_right(s, d):
 
 
 def chunk_causal_agg(s, d):
-    return W.chunk_causal(ev(s, d), "user_id", "t", "value", 4, 2).select("user_id", "t", r(F.col("seen_sum"), "seen_sum"), "seen")
+    return W.chunk_causal(framed(s, d), "user_id", "t", "value", 4, 2).select("user_id", "t", r(F.col("seen_sum"), "seen_sum"), "seen")
 
 
 def causal_agg(s, d):
-    return W.running_sum(ev(s, d), "user_id", "t", "value", "upto").select("user_id", "t", r(F.col("upto"), "upto"))
+    return W.running_sum(framed(s, d), "user_id", "t", "value", "upto").select("user_id", "t", r(F.col("upto"), "upto"))
 
 
 def softmax_partition(s, d):
-    return W.softmax(ev(s, d).withColumn("x", F.col("value") / 100), "user_id", "x").select("user_id", "t", r(F.col("p"), "p"))
+    return W.softmax(framed(s, d).withColumn("x", F.col("value") / 100), "user_id", "x").select("user_id", "t", r(F.col("p"), "p"))
 
 
 def fir_centered(s, d):
@@ -103,7 +108,7 @@ def left_context(s, d):
 
 
 def delay_align(s, d):
-    e = ev(s, d).select("user_id", "t", "event_id")
+    e = framed(s, d).select("user_id", "t", "event_id")
     out = W.delay_align(e.withColumnRenamed("event_id", "value"), e.select("user_id", "t", F.when(F.pmod("event_id", F.lit(5)) > 0, F.col("event_id")).alias("value")), "user_id", "t", 3)
     return out.select("user_id", "t", "a", F.col("b").cast("bigint").alias("b"))
 
@@ -113,7 +118,7 @@ def mask_downsample(s, d):
 
 
 def _two(s, d):
-    e = ev(s, d).select("user_id", "t", "value")
+    e = framed(s, d).select("user_id", "t", "value")
     return e, e.withColumn("user_id", F.col("user_id") + 1)
 
 
@@ -123,14 +128,14 @@ def align_pad_outer(s, d):
 
 
 def align_ratio_fold(s, d):
-    fast = ev(s, d).select("user_id", "t", F.col("event_id").alias("value"))
+    fast = framed(s, d).select("user_id", "t", F.col("event_id").alias("value"))
     slow = W.lengths(fast, "user_id", "t").select("user_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("length") / 2) - 1)).alias("t"))
     out = W.ratio_fold(slow, fast, "user_id", "t", 2, -100, most_short=5)
     return out.select("user_id", "t", F.get("folded", F.lit(0)).cast("bigint").alias("first"), F.get("folded", F.lit(1)).cast("bigint").alias("second"))
 
 
 def interp_nearest(s, d):
-    e = ev(s, d).select("user_id", "t", "event_id")
+    e = framed(s, d).select("user_id", "t", "event_id")
     want = W.lengths(e, "user_id", "t").select("user_id", F.floor(F.col("length") * 3 / 2).alias("want"))
     return W.nearest(e, "user_id", "t", "event_id", want)
 
@@ -144,7 +149,7 @@ POINTS, OTHER = [(0.0, 10.0), (20.0, 2.0), (100.0, 0.5)], [(0.0, 0.0), (50.0, 6.
 
 
 def piecewise_eval(s, d):
-    return W.piecewise_join(ev(s, d).select("event_id", "value"), "value", POINTS, "y").select("event_id", F.round("y", 9).alias("y"))
+    return W.piecewise_join(table(s, d, "events").select("event_id", "value"), "value", POINTS, "y").select("event_id", F.round("y", 9).alias("y"))
 
 
 def piecewise_max(s, d):
@@ -166,7 +171,7 @@ def pad_to_max(s, d):
 
 
 def block_mask_md5(s, d):
-    e = ev(s, d)
+    e = framed(s, d)
     sized = W.join_per_key(e, W.lengths(e, "user_id", "t"), "user_id")
     return sized.select("user_id", "t", masking.block_mask(F.col("user_id"), F.col("t"), F.col("length"), 5, 0.4, 42).alias("masked"))
 
@@ -181,18 +186,18 @@ def span_mask(s, d):
 
 
 def masked_mean(s, d):
-    e = ev(s, d)
+    e = framed(s, d)
     sized = W.join_per_key(e, W.lengths(e, "user_id", "t").withColumn("length", F.floor(F.col("length") * 0.8)), "user_id")
     return stats.masked_mean(sized, "user_id", "value", F.col("t") < F.col("length")).select("user_id", r(F.col("mean"), "mean"))
 
 
 def layer_weighted_sum(s, d):
-    e = ev(s, d).withColumn("layer", F.pmod("event_id", F.lit(6))).groupBy("user_id", "layer").agg(F.avg("value").alias("v"))
+    e = table(s, d, "events").withColumn("layer", F.pmod("event_id", F.lit(6))).groupBy("user_id", "layer").agg(F.avg("value").alias("v"))
     return stats.weighted_layers(e.withColumn("w", F.col("layer") / 10), "user_id", "w", "v").select("user_id", r(F.col("mixed"), "mixed"))
 
 
 def entropy(s, d):
-    p = W.softmax(ev(s, d).withColumn("x", F.col("value") / 100), "user_id", "x")
+    p = W.softmax(framed(s, d).withColumn("x", F.col("value") / 100), "user_id", "x")
     return stats.entropy(p, "user_id", "p").select("user_id", r(F.col("entropy"), "entropy"))
 
 
@@ -243,7 +248,7 @@ def kmeans(s, d):
 
 
 def codebook_ema(s, d):
-    e = ev(s, d)
+    e = framed(s, d)
     return stats.ema_per_key(W.join_per_key(e, W.lengths(e, "user_id", "t"), "user_id"), "user_id", "t", "value", "length", 0.9).select("user_id", r(F.col("ema"), "ema"))
 
 
@@ -302,7 +307,7 @@ def online_cutoff(s, d):
 
 
 def stop_suffix(s, d):
-    e = ev(s, d)
+    e = framed(s, d)
     tail = W.join_per_key(e, W.lengths(e, "user_id", "t"), "user_id").where("t >= length - 2")
     last = tail.groupBy("user_id").agg(A.ordered(F.array_sort(F.collect_list(F.struct("t", F.col("event_type").alias("v"))))).alias("a"))
     stops = [F.array(F.lit("view"), F.lit("click")), F.array(F.lit("error"))]

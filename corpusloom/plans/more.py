@@ -9,7 +9,7 @@ from corpusloom.functions import plugins
 from corpusloom.operators import frames as W
 from corpusloom.operators import masking, stats, vq
 from corpusloom.plans.corpus import h60, items, train
-from corpusloom.plans.frames import _BOOK, _EV, _book, ev, r
+from corpusloom.plans.frames import _BOOK, _EV, _book, framed, r
 from corpusloom.session import table
 
 
@@ -26,7 +26,7 @@ def json_fields(s, d):
 
 def splice_padded(s, d):
     """Spliced rows as arrays: labels padded at the end with -100 (training), attention padded in front with 0."""
-    e = ev(s, d).withColumn("ins", F.when(F.col("event_type") == "view", 2).otherwise(0))
+    e = framed(s, d).withColumn("ins", F.when(F.col("event_type") == "view", 2).otherwise(0))
     sp = W.splice(e, "user_id", "t", "ins").join(e.select("user_id", "t", "event_id"), ["user_id", "t"])
     lab = F.when(F.col("inserted_frame").isNull(), F.col("event_id")).otherwise(-100)
     rows = sp.groupBy("user_id").agg(A.ordered(F.collect_list(F.struct("pos", lab.alias("v")))).alias("labels"), F.count(F.lit(1)).alias("n"))
@@ -72,7 +72,7 @@ def row_drop(s, d):
 
 
 def apply_block_mask(s, d):
-    e = ev(s, d)
+    e = framed(s, d)
     sized = W.join_per_key(e, W.lengths(e, "user_id", "t"), "user_id")
     m = masking.block_mask(F.col("user_id"), F.col("t"), F.col("length"), 5, 0.4, 42)
     out = sized.withColumn("m", m).withColumn("y", masking.apply_mask(F.col("value"), F.col("m"), F.lit(-1.0)))
