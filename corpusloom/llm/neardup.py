@@ -144,18 +144,24 @@ def signatures(reps: DataFrame, counts: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = _signer(df.value)
-        for b in batches:
-            rep = b.column(0).to_numpy()
-            values, offsets = b.column(1).values.to_numpy(), b.column(1).offsets.to_numpy()
-            cols: list[list] = [[], [], [], [], [], []]
-            for i in range(b.num_rows):
-                ids = values[offsets[i] : offsets[i + 1]]
-                sigs, short = sign(ids)
-                s0, s1 = _sketch(ids)
-                for c, v in zip(cols, (sigs, [rep[i]] * len(sigs), [len(ids)] * len(sigs), short, [s0] * len(sigs), [s1] * len(sigs))):
-                    c.extend(v)
-            arrays = [pa.array(np.array(cols[0], np.uint64).view(np.int64))] + [pa.array(c, f.type) for c, f in zip(cols[1:], list(_SIG)[1:])]
-            yield pa.RecordBatch.from_arrays(arrays, schema=_SIG)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                b = whole.slice(lo, 2000)
+                rep, ids = b.column(0).to_numpy(), b.column(1)
+                values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
+                sigs, short, counts_, lens, halves = [], [], [], [], []
+                for i in range(b.num_rows):
+                    words_ = values[offsets[i] : offsets[i + 1]]
+                    s, ok = sign(words_)
+                    sigs += s
+                    short += ok
+                    counts_.append(len(s))
+                    lens.append(len(words_))
+                    halves.append(_sketch(words_))
+                each = np.array(counts_)
+                half = np.array(halves, np.int64).reshape(-1, 2)
+                cols = [np.array(sigs, np.uint64).view(np.int64), np.repeat(rep, each), np.repeat(np.array(lens, np.int32), each), np.array(short, bool), np.repeat(half[:, 0], each), np.repeat(half[:, 1], each)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SIG)], schema=_SIG)
 
     return reps.select("rep", "ids").mapInArrow(run, "sig long, rep long, n int, short boolean, s0 long, s1 long")
 

@@ -20,7 +20,6 @@ repeated labels of one rater count once; a document on which raters disagree has
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
