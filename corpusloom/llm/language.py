@@ -243,7 +243,7 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
     first = F.try_element_at(F.filter("audios", lambda p: ~is_blank(p)), F.lit(1))
     a = t.select(F.lit("train_samples").alias("tbl"), F.col("row_idx").alias("rec_id"), reply().alias("text"), normal_label(F.col("lang")).alias("declared"), first.alias("path"))
     i = table(spark, d, "test_items").select("item_id", "text", "task", "path")
-    p = table(spark, d, "task_prompts").groupBy("task").agg(F.first("reply_lang").alias("reply_lang")).limit(10000)
+    p = table(spark, d, "task_prompts").groupBy("task").agg(F.min("reply_lang").alias("reply_lang")).limit(10000)
     b = i.join(F.broadcast(p), "task", "left").select(F.lit("test_items").alias("tbl"), F.col("item_id").alias("rec_id"), "text", normal_label(F.col("reply_lang")).alias("declared"), "path")
     address = normal_label(F.regexp_extract(F.lower("path"), r"/(en|de|fr|es|zh|ja)/", 1))
     return a.unionByName(b).select("tbl", "rec_id", "text", "declared", F.coalesce(source_of(F.col("path"), sources), F.lit("")).alias("host"), address.alias("address"))
