@@ -6,9 +6,10 @@ training string and the other then holds at most k edits, the other one is cut i
 many strings share makes no hot bucket: every key spans three quarters of the string's information. Training strings emit the substrings at the allowed positions, for each length they can match.
 Candidates are verified by the banded edit-distance of the engine (``levenshtein`` with a threshold).
 
-``recording_names`` gives each path its source, its name (what is left of the last parts of the path without
-extension, copy marks, padding of numbers and letter case; names may still differ by one edit, such as a prefixed
-letter) and its identity, by the rules of the sources.
+``recording_names`` gives each path its source, its name (the part of the path that the source's pattern matches,
+without padding of numbers and letter case; names may still differ by one edit, such as a prefixed letter) and its
+identity, by the rules of the sources. Whatever else a path holds, before or after that part, is in no name; only
+letters and digits that go on an id of fixed length belong to it, as they make it another id.
 
 Edge cases: null and blank paths name nothing; a path of no source is its own recording (as the file system resolves
 it); strings of one character work as any other (empty quarters match at any string of allowed length).
@@ -47,8 +48,10 @@ IDENTITY = {
     "opentongue": r"ot_([a-z]+)_(\d+)",
     "wavtrove": r"([^/]+)/(\d+)",
 }
-#: Sources in which the folder is part of the name.
-FOLDER_NAMES = ("facevoice", "wavtrove")
+#: Sources whose names end in an id of fixed length.
+FIXED_IDS = ("chartsong", "tunecards")
+#: The number that ends a title: the last one that stands alone, so that additions such as "_part9" don't count.
+TITLE_NUMBER = r".*(?<![^\W_])(\d+)(?![^\W_])"
 # Endings of a stem that mark a copy or a conversion.
 COPY_MARKS = r"((?<=\d)x|~| \(\d+\)|-copy|_16k|_norm|\.(wav|mp3|flac|m4a|ogg|opus))+$"
 
@@ -86,7 +89,7 @@ class Namer:
         self.sources = [(s, s.lower()) for s in sources]
         self.patterns = {s: re.compile(p) for s, p in IDENTITY.items()}
         self.marks, self.extensions = re.compile(COPY_MARKS), re.compile(r"(\.[a-z][a-z0-9]{1,4}){1,2}$")
-        self.padding = re.compile(r"(?<!\d)0+(?=\d)")
+        self.padding, self.title_number, self.more = re.compile(r"(?<!\d)0+(?=\d)"), re.compile(TITLE_NUMBER), re.compile(r"[a-z0-9]*")
 
     def __call__(self, path: str) -> tuple[str | None, str, str]:
         low = path.lower()
@@ -98,10 +101,13 @@ class Namer:
         folder, _, base = ("/" + _resolve(low.replace("%20", " "))).rpartition("/")
         stem = self.marks.sub("", self.extensions.sub("", base))
         tail = folder.rpartition("/")[2] + "/" + stem
-        shown = tail if source in FOLDER_NAMES else re.search(r"\d*$", stem).group() if source == "fieldclips" else stem
-        m = pattern.search(tail)
-        name = self.padding.sub("", shown)
-        return source, name, "|".join([source, *(self.padding.sub("", g) for g in m.groups())]) if m else ":" + _resolve(path)
+        m = source == "fieldclips" and self.title_number.match(stem) or pattern.search(tail)
+        if not m:
+            return source, self.padding.sub("", tail), ":" + _resolve(path)
+        shown = m.group(1) if source == "fieldclips" else m.group().lstrip("/")
+        if source in FIXED_IDS:
+            shown += self.more.match(tail, m.end()).group()
+        return source, self.padding.sub("", shown), "|".join([source, *(self.padding.sub("", g) for g in m.groups())])
 
 
 _NAMES = pa.schema([("side", pa.int32()), ("path", pa.string()), ("source", pa.string()), ("name", pa.string()), ("identity", pa.string())])

@@ -54,3 +54,30 @@ def test_identity(a, b, same):
     assert (x[2] == y[2]) == same
     if same:
         assert distance(x[1], y[1]) <= R.K
+
+
+ADDED = {
+    "talehall": "/v/talehall/TaleHall/train-lit-360/101/10007/101-10007-0033{}.flac",
+    "moodbox": "/v/moodbox/Session3/sentences/wav/Mb000007/Mb000007_M017{}.wav",
+    "pairmix": "/v/pairmix/talehall2mix/min/3000-4_7000-4{}.wav",
+    "chartsong": "/v/chartsong/d/b/TRdbvnwl6k2li{}.mp3",
+    "gigavoice": "/v/gigavoice/m_files/audio/GVC2000000137/GVC2000000137_S0000018{}.wav",
+    "capnook": "/v/capnook/audio/s6tfd5wyvcf_20{}.wav",
+    "tunecards": "/v/tunecards/2stt1xm2gx1{}.wav",
+    "facevoice": "/v/facevoice/wav/id10011/iq9lro26ax3/00004{}.wav",
+    "fieldclips": "/v/fieldclips/development/Heavy lagoon at Kaserath 20694{}.wav",
+    "opentongue": "/v/opentongue/de/clips/ot_de_17000284{}.mp3",
+    "wavtrove": "/v/wavtrove/archive_set/100096{}.flac",
+}
+
+
+def test_additions_that_no_list_holds(spark, tmp_path):
+    """Additions to a name hide no pair; digits that go on a number or an id name another recording."""
+    sources = ["pairmix", *(s for s in ADDED if s != "pairmix")]
+    write = lambda name, rows, kind: spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    write("mix_targets", [(s, i) for i, s in enumerate(sources)], "source string, match_rank int")
+    write("test_items", [(i, "test", ADDED[s].format("")) for i, s in enumerate(sources)], "item_id long, split string, path string")
+    rows = [(100 * k + i, [ADDED[s].format(x)]) for k, x in enumerate(("_part9", " final mix", "-remastered_v2", "9999"), 1) for i, s in enumerate(sources)]
+    write("train_samples", rows, "row_idx long, audios array<string>")
+    got = {tuple(r) for r in R.p1_found(spark, str(tmp_path)).collect()}
+    assert got == {(i, 100 * k + i) for k in (1, 2, 3) for i in range(len(sources))}
