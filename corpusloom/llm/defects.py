@@ -3,7 +3,8 @@
 ``empty``            no reply, or a complete reply without a letter, digit or answer value
 ``refusal``          two automata over the reply (phrases of declining, phrases for the task), in this order in one
                      sentence, or a phrase of declining with an apology; both are Aho-Corasick machines over phrases
-                     in six languages
+                     in six languages; every sentence of a reply counts, unless it or the quotation that it is part
+                     of is reported as someone's speech
 ``copied_question``  a suffix automaton of the prompt's words is traversed with the reply; the reply is covered by runs
                      of the prompt and one run holds most of the question or of the instruction
 ``truncated``        a delimiter stack that isn't empty (JSON, brackets, quotes), or an end at which no sentence ends:
@@ -68,14 +69,14 @@ DECLINES = [
 TASKS = [
     "that question", "this question", "your question", "the question", "this request", "that request", "your request", "the request", "with this", "with that",
     "audio file", "audio", "the voice", "this recording", "the recording", "the clip", "this clip", "the task", "this task", "an opinion", "the file",
-    "the people", "the speaker", "this content", "such content", "transcribe", "aufgabe", "aufnahme", "frage", "anfrage", "bitte", "inhalt", "question",
+    "the people", "the speaker", "this content", "such content", "transcribe", "do what you asked", "do as you asked", "with what you asked", "provide what you asked", "what you are asking", "what you're asking", "aufgabe", "aufnahme", "frage", "anfrage", "bitte", "inhalt", "question",
     "demande", "enregistrement", "tâche", "fichier", "voix", "pregunta", "solicitud", "grabación", "tarea", "archivo", "petición",
     "要求", "问题", "请求", "录音", "音频", "任务", "内容", "質問", "依頼", "録音", "音声", "作業", "タスク", "リクエスト", "お手伝い", "要望", "お答え", "ご要望",
 ]
 # Apologies, followed by a pause where words are apart.
 APOLOGIES = re.compile(r"\b(sorry|apologies|i apologi[sz]e|entschuldigung|es tut mir leid|tut mir leid|désolée?|pardon|lo siento|perdón)\s*[,.!;:—–-]|对不起|抱歉|不好意思|申し訳|すみません|ごめん")
-# Words with which someone's speech is reported.
-REPORTS = re.compile(r"\b(said|says|yelled|told|asked|asks|sagte|fragt|dit|demande si|cuenta|dijo)\b|说[：:“]|と言")
+# Words with which someone's speech is reported; what the reader or the writer was asked isn't speech.
+REPORTS = re.compile(r"\b(?<!\byou )(?<!\byou've )(?<!\bi was )(?<!\bi've been )(said|says|yelled|told|asked|asks|sagte|fragt|dit|demande si|cuenta|dijo)\b|说[：:“]|と言")
 # Names of languages in prompts, in the six languages.
 NAMED = {
     "en": r"\benglish\b|\benglisch\w*|\banglais\w*|\binglés\b|英语|英文|英語",
@@ -88,6 +89,24 @@ NAMED = {
 _NAMED = {k: re.compile(v) for k, v in NAMED.items()}
 
 
+_SENTENCE = re.compile(r"[^.!?。！？]*(?:[.!?。！？]+[\"”’»)\]」』]*\s*|$)")
+_QUOTES = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", '"': '"'}
+
+
+def spoken(text: str) -> Iterator[tuple[str, str]]:
+    """Sentences with their surroundings: all sentences that a quotation holds together, and what goes on after its end."""
+    run: list[str] = []
+    closing = ""
+    for x in filter(None, _SENTENCE.findall(text)):
+        if run and not closing and not (run[-1].rstrip()[-1:] in set('"”»」』') and x[:1].islower()):
+            yield from ((y, "".join(run)) for y in run)
+            run = []
+        run.append(x)
+        for ch in x:
+            closing = "" if closing and ch in closing else closing or _QUOTES.get(ch, "")
+    yield from ((y, "".join(run)) for y in run)
+
+
 class SuffixAutomaton:
     """Suffix automaton of a token sequence."""
 
@@ -270,19 +289,19 @@ class Judge:
         return not any(ch.isalnum() for ch in body)
 
     def refusal(self, text: str) -> bool:
-        body = TAG.sub(" ", text).lower().replace("’", "'")
-        if len(body) > 400:
-            return False
-        hits = [i for i, _ in self.declines.iter(body)]
-        if not hits or REPORTS.search(body):
+        shown = TAG.sub(" ", text).replace("’", "'")
+        body = shown.lower()
+        if next(self.declines.iter(body), None) is None:
             return False
         cjk = len(_CJK.findall(body)) >= 4
-        for sentence in re.split(r"(?<=[.!?。！？])\s*", body):
+        for sentence, around in ((x.lower().rstrip(), y.lower()) for x, y in spoken(shown)):
             d = [i for i, _ in self.declines.iter(sentence)]
-            if d and APOLOGIES.search(sentence) and len(sentence) <= 80:
+            if not d or REPORTS.search(around):
+                continue
+            if APOLOGIES.search(sentence) and len(sentence) <= 80:
+                return True
+            if any(i > d[0] or cjk or "ich" in sentence for i, _ in self.tasks.iter(sentence)) and len(sentence.split()) <= 25:
                 return True
-            if d and any(i > d[0] or cjk or "ich" in sentence for i, _ in self.tasks.iter(sentence)):
-                return len(sentence.split()) <= 25
         return False
 
     def truncated(self, text: str) -> bool:

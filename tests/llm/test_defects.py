@@ -50,3 +50,18 @@ def test_few_rows_flagged(spark, data):
 def test_no_model():
     j = D.Judge(D.EndModel.fit([]), LanguageModel.fit([]))
     assert j.defect("a b c", "") == "empty" and j.defect("What is this thing?", "What is this thing?") == "copied_question"
+
+
+TALK = "The lantern answers slowly near the harbour. "
+
+
+@pytest.mark.parametrize(
+    "reply,want",
+    [
+        ("I can't do what you asked.", True), ("I am unable to process this recording. " + TALK * 20, True), (TALK * 20 + "I am unable to process this recording.", True),
+        (TALK * 10 + "I am unable to process this recording. " + TALK * 10, True), ("I cannot transcribe the clip. A man told a story in it.", True), ("很抱歉，我无法完成这个要求。" + "他在码头旁边等待一个安静的街道。" * 40, True),
+        ('"I cannot answer that question." said the mallet.', False), ('The mallet said: "Sorry. I cannot answer that question."', False), (TALK * 20 + '"Sorry, I cannot," said the mallet. ' + TALK, False), (TALK * 200, False),
+    ],
+)
+def test_refusal_of_any_length(reply, want):
+    assert D.Judge(D.EndModel.fit([]), LanguageModel.fit([])).refusal(reply) == want
