@@ -1,14 +1,15 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Seconds of a sample are the lengths of its audio items (the valid length of the last added entry of the resolved path);
-an item counts for its own source, the sample is drawn with the source that holds most of its seconds. Samples fall
-into cells (source, language, topic); languages are normalised and topics beyond the ``TOPICS`` most frequent pooled,
+an item counts for its own source, the sample is drawn with the source that holds most of its seconds and is used as
+often at most as the least ``max_repeats`` of all sources of its items allows, items of no valid length included. Samples
+fall into cells (source, cap, language, topic); languages are normalised and topics beyond the ``TOPICS`` most frequent pooled,
 so that the table of cells has a fixed bound and is fitted on the driver:
 
 * the total is the largest at which every source can reach its share without more than ``max_repeats`` uses of any
   sample (or a given, smaller one);
 * weights, the expected uses of a sample, are raked in turn to the marginals of topic, language (both as in the
-  collection) and source (the targets), cut at ``max_repeats`` and raked again until the sources fit.
+  collection) and source (the targets), cut at the caps and raked again until the sources fit.
 
 Samples are then drawn with the calibrated probabilities: the whole part of a weight always, the fraction by systematic
 sampling over the samples of a source ordered by length, so that the seconds drawn stay close to the seconds wanted.
@@ -41,15 +42,18 @@ def durations(inventory: DataFrame) -> DataFrame:
     return good.groupBy(posix_resolve(F.col("path")).alias("key")).agg(F.max_by("duration_s", F.struct("added_at", "entry_id")).alias("seconds"))
 
 
-def sample_seconds(spark: SparkSession, d: str, sources: list[str]) -> DataFrame:
-    """(row_idx, language, topic, source, seconds by source) of every sample that can be used."""
+def sample_seconds(spark: SparkSession, d: str, sources: list[str], repeats: list[int]) -> DataFrame:
+    """(row_idx, language, topic, cap, seconds by source, source) of every sample that can be used."""
     t = table(spark, d, "train_samples")
     topics = [r[0] for r in t.groupBy("task_type").count().where("task_type is not null").orderBy(F.desc("count"), "task_type").limit(TOPICS).collect()]
     item = t.select("row_idx", F.coalesce(normal_label(F.col("lang")), F.lit("")).alias("language"), _topic(F.col("task_type"), topics).alias("topic"), F.explode("audios").alias("item"))
     item = item.where(~is_blank(F.col("item"))).withColumn("item_source", source_of(F.col("item"), sources)).where("item_source is not null")
-    sized = lookup_join(item.withColumn("key", posix_resolve(F.col("item"))), durations(table(spark, d, "audio_inventory")), "key", "inner")
-    sums = [F.sum(F.when(F.col("item_source") == s, F.col("seconds")).otherwise(0.0)).alias(f"s{i}") for i, s in enumerate(sources)]
-    by_row = sized.groupBy("row_idx", "language", "topic").agg(*sums)
+    sized = lookup_join(item.withColumn("key", posix_resolve(F.col("item"))), durations(table(spark, d, "audio_inventory")), "key", "left")
+    sums = [F.sum(F.when(F.col("item_source") == s, F.coalesce("seconds", F.lit(0.0))).otherwise(0.0)).alias(f"s{i}") for i, s in enumerate(sources)]
+    allowed = F.lit(None).cast("int")
+    for s, n in zip(sources, repeats):
+        allowed = F.when(F.col("item_source") == s, F.lit(n)).otherwise(allowed)
+    by_row = sized.groupBy("row_idx", "language", "topic").agg(F.min(allowed).alias("cap"), *sums, F.count("seconds").alias("n_sized")).where("n_sized > 0").drop("n_sized")
     top = F.greatest(*[F.col(f"s{i}") for i in range(len(sources))]) if len(sources) > 1 else F.col("s0")
     main = F.lit(None).cast("int")
     for i in reversed(range(len(sources))):
@@ -61,17 +65,18 @@ def _topic(c: Column, topics: list[str]) -> Column:
     return F.when(c.isin(topics), c).when(c.isNotNull(), F.lit("(other)")).otherwise("") if topics else F.lit("")
 
 
-def rake(seconds: np.ndarray, main: np.ndarray, language: np.ndarray, topic: np.ndarray, share: np.ndarray, repeats: np.ndarray, total: float | None = None) -> np.ndarray:
+def rake(seconds: np.ndarray, main: np.ndarray, language: np.ndarray, topic: np.ndarray, share: np.ndarray, repeats: np.ndarray, total: float | None = None, caps: np.ndarray | None = None) -> np.ndarray:
     """Expected uses of the samples of each cell.
 
-    ``seconds`` is (cells, sources); ``main``, ``language`` and ``topic`` are codes of the cells.
+    ``seconds`` is (cells, sources); ``main``, ``language`` and ``topic`` are codes of the cells; ``caps`` are
+    the greatest uses of the cells' samples, else ``repeats`` of their main source.
     """
     have = seconds.sum(0)
     share = np.where(have > 0, np.maximum(share, 0), 0.0)
     if not len(seconds) or share.sum() <= 0:
         return np.zeros(len(seconds))
     share = share / share.sum()
-    cap = repeats[main].astype(float)
+    cap = (repeats[main] if caps is None else caps).astype(float)
     reach = (cap[:, None] * seconds).sum(0)
     most = min(reach[s] / share[s] for s in range(len(share)) if share[s] > 0)
     size = min(most, total or most)
@@ -114,24 +119,24 @@ def mix(samples: DataFrame, sources: list[str], share: list[float], repeats: lis
     """Samples with ``copies`` > 0. ``samples`` is read from files and has the columns of ``sample_seconds``."""
     spark = samples.sparkSession
     names = [f"s{i}" for i in range(len(sources))]
-    # At most sources x (languages + 1) x (TOPICS + 2) rows.
-    cells = samples.groupBy("main", "language", "topic").agg(F.count(F.lit(1)).alias("n"), *[F.sum(n).alias(n) for n in names]).orderBy("main", "language", "topic").collect()
+    # At most sources x different repeats x (languages + 1) x (TOPICS + 2) rows.
+    cells = samples.groupBy("main", "cap", "language", "topic").agg(F.count(F.lit(1)).alias("n"), *[F.sum(n).alias(n) for n in names]).orderBy("main", "cap", "language", "topic").collect()
     code = {k: {v: i for i, v in enumerate(sorted({c[k] for c in cells}))} for k in ("language", "topic")}
     w = rake(
         np.array([[c[n] for n in names] for c in cells]).reshape(len(cells), len(names)),
         np.array([c["main"] for c in cells], int), np.array([code["language"][c["language"]] for c in cells], int), np.array([code["topic"][c["topic"]] for c in cells], int),
-        np.array(share, float), np.array(repeats, int), total,
+        np.array(share, float), np.array(repeats, int), total, np.array([c["cap"] for c in cells], int),
     )
     held: dict[int, int] = {}
     for c in cells:
         held[c["main"]] = held.get(c["main"], 0) + c["n"]
     # Rounded, so that a weight that is whole but for the last bits counts as whole.
-    plan = [(c["main"], c["language"], c["topic"], round(float(x), 9), max(1, -(-held[c["main"]] // BLOCK))) for c, x in zip(cells, w)]
-    fitted = spark.createDataFrame(plan, "main int, language string, topic string, weight double, blocks int")
+    plan = [(c["main"], c["cap"], c["language"], c["topic"], round(float(x), 9), max(1, -(-held[c["main"]] // BLOCK))) for c, x in zip(cells, w)]
+    fitted = spark.createDataFrame(plan, "main int, cap int, language string, topic string, weight double, blocks int")
     part = F.col("weight") - F.floor("weight")
     in_order = Window.partitionBy("main", "block").orderBy("size", "row_idx").rowsBetween(Window.unboundedPreceding, 0)
     start = F.pmod(F.xxhash64("main", "block"), F.lit(1000)) / 1000.0
-    ranked = samples.join(F.broadcast(fitted), ["main", "language", "topic"]).withColumn("block", F.pmod(F.xxhash64("row_idx", F.lit(31)), F.col("blocks")))
+    ranked = samples.join(F.broadcast(fitted), ["main", "cap", "language", "topic"]).withColumn("block", F.pmod(F.xxhash64("row_idx", F.lit(31)), F.col("blocks")))
     ranked = ranked.withColumn("size", sum((F.col(n) for n in names), F.lit(0.0))).withColumn("upto", F.sum(part).over(in_order) + start)
     extra = F.when(part > 0, F.floor("upto") - F.floor(F.col("upto") - part)).otherwise(0)
     return ranked.withColumn("copies", (F.floor("weight") + extra).cast("int")).where("copies > 0").drop("blocks", "block", "upto")
@@ -147,7 +152,7 @@ def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, list[str], list[floa
     sources, share, repeats = _targets(spark, d)
     if not sources:
         return spark.createDataFrame([], "row_idx long, main int, copies int, size double, weight double"), sources, share
-    return mix(written(sample_seconds(spark, d, sources), "p3-samples"), sources, share, repeats), sources, share
+    return mix(written(sample_seconds(spark, d, sources, repeats), "p3-samples"), sources, share, repeats), sources, share
 
 
 def p3_mix(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import mixing as M
+from corpusloom.llm.recordings import source_of
+from corpusloom.session import table
 
 
 def test_rake_reaches_targets_within_caps():
@@ -36,3 +39,13 @@ def test_shares(spark, data, monkeypatch, block):
         assert abs(rows[s]["actual_share"] - t) < 0.02 * max(1, block == 100 and 1.5), (s, t, rows[s])
     over = [r for r in M.p3_mix(spark, d).collect() if r["copies"] > repeats[sources.index(r["source"])] or r["copies"] < 1]
     assert not over
+
+
+def test_least_repeats_of_all_sources_held(spark, data):
+    d = data.replace("sf0.001", "sf0.01")
+    sources, _, repeats = M._targets(spark, d)
+    least = F.least(*[F.when(F.array_contains("held", s), n).otherwise(99) for s, n in zip(sources, repeats)])
+    item = table(spark, d, "train_samples").select("row_idx", F.explode("audios").alias("p"))
+    held = item.select("row_idx", source_of(F.col("p"), sources).alias("s")).groupBy("row_idx").agg(F.collect_set("s").alias("held"))
+    mixed = M.p3_mix(spark, d).join(held, "row_idx").select("copies", least.alias("most"))
+    assert mixed.where("copies > 1").count() > 0 and mixed.where("copies > most").count() == 0
