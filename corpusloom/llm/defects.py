@@ -12,8 +12,10 @@
                      last word that is only the beginning of known words
 ``other_language``   votes of stopwords and learned words for languages: no part in the wanted language
 
-The sentence-end model and the vocabulary are fitted on a bounded sample of at most about ``SAMPLE`` replies, drawn by
-a hash of the id; all rows are judged.
+Words, and how often they begin a reply, are counted over all replies in one grouped aggregation; a word is known from a
+share ``KNOWN`` of the replies on, whatever the size of the table, which also bounds the vocabulary. The last word of a
+reply without a last stop may be a fragment and makes no word known. Only the weights of the sentence-end model are
+fitted on a bounded sample of at most about ``SAMPLE`` whole replies, drawn by a hash of the id; all rows are judged.
 
 Edge cases: a null list of turns and a null reply are ``empty``; null prompts leave out the checks that need a prompt;
 very long replies are read whole.
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -43,6 +46,8 @@ SAMPLE = 12000
 END_LEAST = 0.06
 #: Share of a word's places that are the first of a reply, from which it counts as one that begins sentences.
 BEGINS = 0.12
+#: Share of the replies, at least 2 of them, from which a word is known.
+KNOWN = 1 / 12000
 EPOCHS, STEP = 6, 0.2
 _DIM = 1 << 17
 _CJK = re.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ々]")
@@ -209,14 +214,12 @@ class EndModel:
         self.weights, self.vocabulary = weights, vocabulary
 
     @classmethod
-    def fit(cls, replies: list[str], seed: int = 5) -> EndModel:
-        """From replies. Where a reply has stops inside, they say where its sentences end; where it has none, places
+    def fit(cls, replies: list[str], seed: int = 5, words: tuple[list[str], set[str]] = ((), frozenset())) -> EndModel:
+        """From replies and, of all replies, the known words and those that begin sentences. Where a reply has stops inside, they say where its sentences end; where it has none, places
         before words that often begin replies may be ends and say nothing."""
         rng = np.random.default_rng(seed)
         tokens = [_TOKEN.findall(TAG.sub(" ", text).lower()) for text in replies]
-        counts = Counter(t for toks in tokens for t in toks)
-        first = Counter(toks[0] for toks in tokens if toks)
-        begins = {w for w, n in first.items() if n >= 2 and n > BEGINS * counts[w]}
+        vocabulary, begins = words
         x, y = [], []
         for toks in tokens:
             n = len(toks)
@@ -245,7 +248,7 @@ class EndModel:
                     hit = np.flatnonzero(g)
                     g2[hit] += g[hit] ** 2
                     w[hit] -= STEP * g[hit] / np.sqrt(g2[hit])
-        return cls(w.astype(np.float32), sorted(t for t, c in counts.items() if c >= 2 and len(t) > 1))
+        return cls(w.astype(np.float32), sorted(vocabulary))
 
     def end_probability(self, tokens: list[str]) -> float:
         return float(1 / (1 + np.exp(-self.weights[_features(tokens, len(tokens) - 1)].sum() + 2.0)))
@@ -366,11 +369,41 @@ class Judge:
         return None
 
 
+_COUNTED = pa.schema([("word", pa.string()), ("n", pa.int64()), ("first", pa.int64()), ("docs", pa.int64())])
+
+
+def word_counts(replies: DataFrame) -> DataFrame:
+    """(word, n, first, docs) of all replies ``r``: times, times in front, and replies that hold it before their last
+    word or a stop."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, first, docs = Counter(), Counter(), Counter()
+            for text in b.column(0).to_pylist():
+                toks = _TOKEN.findall(TAG.sub(" ", text).lower()) if text else []
+                if toks:
+                    n.update(toks)
+                    first[toks[0]] += 1
+                    docs.update(set(toks if toks[-1] in _STOPS else toks[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), *(pa.array([c[w] for w in n], pa.int64()) for c in (n, first, docs))], schema=_COUNTED)
+
+    parts = replies.select("r").mapInArrow(run, "word string, n long, first long, docs long")
+    return parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "first", "docs")])
+
+
+def known_words(replies: DataFrame, total: int) -> tuple[list[str], set[str]]:
+    """The words that the table's replies know, and those that begin sentences; ``total`` is the number of replies."""
+    least = max(2, math.ceil(total * KNOWN))
+    rows = word_counts(replies).where((F.col("docs") >= least) | (F.col("first") >= least)).collect()  # at most the words of a reply / KNOWN
+    return [r["word"] for r in rows if r["docs"] >= least and len(r["word"]) > 1], {r["word"] for r in rows if r["first"] >= least and r["first"] > BEGINS * r["n"]}
+
+
 def fit_judge(spark: SparkSession, d: str) -> Judge:
     t = table(spark, d, "train_samples")
-    step = max(1, t.count() // SAMPLE)
-    rows = t.where(F.pmod(F.xxhash64("row_idx", F.lit(23)), F.lit(step)) == 0).select(F.substring(reply(), 1, 20000).alias("r")).where("r is not null").limit(2 * SAMPLE).collect()
-    return Judge(EndModel.fit([r[0] for r in rows]), fit_model(spark, d))
+    total = t.count()
+    step = max(1, total // SAMPLE)
+    rows = t.where(F.pmod(F.xxhash64("row_idx", F.lit(23)), F.lit(step)) == 0).select(reply().alias("r")).where("r is not null").limit(2 * SAMPLE).collect()
+    return Judge(EndModel.fit([r[0] for r in rows], words=known_words(t.select(reply().alias("r")), total)), fit_model(spark, d))
 
 
 _OUT = pa.schema([("row_idx", pa.int64()), ("defect", pa.string())])

@@ -65,3 +65,11 @@ TALK = "The lantern answers slowly near the harbour. "
 )
 def test_refusal_of_any_length(reply, want):
     assert D.Judge(D.EndModel.fit([]), LanguageModel.fit([])).refusal(reply) == want
+
+
+def test_words_of_all_replies(spark):
+    """The fragment test doesn't depend on the size: fragments at cuts are no words, however often they occur."""
+    for size in (30, 3000):
+        replies = [("The harbour is quiet.",), ("A lantern in the harbour hums.",), ("We hear the harb",)] * size
+        words, _ = D.known_words(spark.createDataFrame([*replies, (None,)], "r string"), len(replies))
+        assert {"harbour", "lantern", "hums"} <= set(words) and D.EndModel.fit([], words=(words, set())).is_fragment("harb")
