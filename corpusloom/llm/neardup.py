@@ -4,13 +4,17 @@ Similarity is twice the words in common, as multisets, over the words of both; p
 each and a similarity of at least ``THRESHOLD`` are found, all of them.
 
 1. Exact copies (same multiset of words) become one class; the join runs over one representative of each class.
-2. Words are ordered from rare to frequent. Frequencies come from a count over all documents into a table of
-   ``DF_CELLS`` hashed cells, so what is sent to the executors has a fixed size.
+2. Words are ordered from rare to frequent. Frequencies come from a count over all documents into a table of hashed
+   cells that grows with the vocabulary up to ``MOST_CELLS``, so what is sent to the executors has a bound.
 3. A document that may lose d words to its partner shares its i-th common word, in that order, within its first d + i
-   words. Signatures are the shortest leading runs of common words whose estimated number of bearers is at most
-   ``MAX_COST``: a rare word stands alone; a frequent one asks for a second shared word and a prefix that is one word
-   longer, and so on. Both partners take the decision from the same table, so the signature of their first common
-   words is in both prefixes.
+   words. A word whose estimated number of bearers is at most ``MAX_COST`` stands alone as a signature, within the
+   first d + 1 words. Partners that share no such word lose all of theirs, r of the d, and share q words within the
+   first d - r + q of the others: the prefix is lengthened, and more shared words are asked for. The words are dealt
+   over m groups by hash; of q = (depth - 1) m + 1 shared words some group holds ``depth`` at least. Signatures are the
+   shortest leading runs of shared words within a group whose estimated bearers are few enough, at most ``depth`` long.
+   With m in proportion to the length their number is in proportion to the length, too: there are about depth words in
+   each group. m depends on the class of lengths of the longer partner only, and the depth on the corpus only, so that
+   both partners take the same decision; a document gives signatures for its own class and the next.
 4. Documents of one signature are compared by a 128-bit parity sketch of their words, in vector operations: every word
    in which two documents differ flips at most one bit, so more flipped bits than the threshold allows prove that a
    pair fails. (Beyond some 300 words the threshold allows all bits, and candidates go to the exact check at once.) A signature borne by more than ``BLOCK`` documents is worked off in blocks, spread over tasks.
@@ -21,6 +25,8 @@ Edge cases: null replies, replies of fewer words and empty tables give no rows;
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -34,16 +40,12 @@ from corpusloom.session import hot_keys, lookup_join, salted_join, table, writte
 
 THRESHOLD = Fraction(8, 10)
 MIN_WORDS = 30
-DF_CELLS = 1 << 16
+#: Cells of the table of frequencies: four for each word of the vocabulary, within these bounds.
+LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 22
 #: Estimated bearers of a signature beyond which it is lengthened by one more shared word; each further word must be
-#: worth ``GROWTH`` times as many, as the number of signatures grows with it. The longest signature.
+#: worth ``GROWTH`` times as many, as the number of signatures grows with it.
 MAX_COST = 3000
 GROWTH = 4
-MAX_SHARED = 6
-#: Documents of at least so many words meet on single words only, as their prefixes are long; those of fewer than one
-#: and a half times as many meet on runs of words. Pairs differ by a factor of at most one and a half in length, so
-#: every pair meets in one way, those in between in both.
-LONG = 80
 #: Documents of one signature that are compared at once; more are spread over tasks in blocks of this size.
 BLOCK = 8192
 
@@ -75,56 +77,119 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _cell_counts(reps: DataFrame) -> np.ndarray:
-    """Documents by hashed cell of their words: ``DF_CELLS`` numbers whatever the corpus."""
-    cell = F.explode(F.array_distinct(F.transform("ids", lambda w: F.pmod(w, F.lit(DF_CELLS)).cast("int"))))
-    out = np.zeros(DF_CELLS + 1, np.int64)
-    for r in reps.select(cell.alias("c")).groupBy("c").count().collect():  # DF_CELLS rows at most
-        out[r[0]] = r[1]
-    out[DF_CELLS] = reps.count()
+    """Documents by hashed cell of their words, and the number of documents at the end.
+
+    Counted in ``MOST_CELLS`` cells (at most so many rows come back) and folded to four cells a word, which leaves
+    every number an upper bound of the bearers of its words.
+    """
+    cell = F.explode(F.array_distinct(F.transform("ids", lambda w: F.pmod(w, F.lit(MOST_CELLS)).cast("int"))))
+    rows = reps.select(cell.alias("c")).groupBy("c").count().toPandas()
+    size = LEAST_CELLS
+    while size < min(MOST_CELLS, 4 * len(rows)):
+        size *= 2
+    out = np.zeros(size + 1, np.int64)
+    np.add.at(out, rows["c"].to_numpy(np.int64) % size, rows["count"].to_numpy(np.int64))
+    out[size] = reps.count()
     return out
 
 
-def _signer(df: np.ndarray):
-    """Function from sorted word hashes to (signature, may be the shorter document) pairs."""
-    total = max(1, int(df[-1]))
+def depth_of(df: np.ndarray, most_cost: float) -> int:
+    """Shared words that make a signature selective: so many of the typical words (the geometric mean over all places
+    in texts) of those that are too frequent to stand alone."""
+    n, held = max(1, int(df[-1])), df[:-1][df[:-1] > most_cost].astype(float)
+    if not len(held):
+        return 2
+    one = -float((held * np.log(np.minimum(held / n, 0.9))).sum() / held.sum()) + math.log(GROWTH)
+    return int(min(8, max(2, math.ceil((math.log(n / most_cost) + math.log(GROWTH)) / one))))
+
+
+class LengthClasses:
+    """Classes of lengths of the longer partner: from, to (exclusive), and how many groups their words are dealt over."""
+
+    def __init__(self, depth: int):
+        self.depth, self.start = depth, [MIN_WORDS]
+
+    def of(self, n: int) -> int:
+        while self.start[-1] <= n:
+            self.start.append(-(-self.start[-1] * 3 // 2))
+        return bisect.bisect_right(self.start, n) - 1
+
+    def groups(self, c: int) -> int:
+        """As many as the longest of the class may lose words, if its shortest pair shares enough for them."""
+        low, high = self.start[c], self.start[c + 1] - 1
+        shared = -int(-(THRESHOLD * (low + least_partner(low)) / 2) // 1)
+        lose = high - -int(-(THRESHOLD * (high + least_partner(high)) / 2) // 1)
+        return max(1, min(lose, (shared - 1) // (self.depth - 1)))
+
+
+def least_partner(n: int) -> int:
+    """Words of the shortest partner of a document of n words."""
+    return max(MIN_WORDS, -int(-(n * THRESHOLD / (2 - THRESHOLD)) // 1))
+
+
+#: What a signature's bearer may be: the shorter partner, the longer one.
+SHORTER, LONGER = 1, 2
+
+
+def _signer(df: np.ndarray, most_cost: float):
+    """Function from sorted word hashes to (signatures, roles)."""
+    cells, total = len(df) - 1, max(1, int(df[-1]))
     log_share = np.log(np.maximum(df[:-1], 1) / total)
-    budget, log_growth = float(np.log(MAX_COST / total)), float(np.log(GROWTH))
-    t = float(THRESHOLD)
+    budget, log_growth = float(np.log(most_cost / total)), float(np.log(GROWTH))
+    classes_ = LengthClasses(depth_of(df, most_cost))
+    depth, M = classes_.depth, 0xFFFFFFFFFFFFFFFF
 
-    def sign(ids: np.ndarray) -> tuple[list[int], list[bool]]:
+    def sign(ids: np.ndarray) -> tuple[list[int], list[int]]:
         n = len(ids)
-        # The partner has at least n * t / (2 - t) words; a partner that isn't shorter has at least n.
-        least = -int(-(n * THRESHOLD / (2 - THRESHOLD)) // 1)
-        lose_long = n - -int(-(THRESHOLD * (n + max(least, MIN_WORDS)) / 2) // 1)
+        share = log_share[ids % cells]
+        order = np.lexsort((ids, share))
+        ranked, ids = share[order], ids[order]
+        # Repeated words are numbered, so that common words are a set.
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        k = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+        toks = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (k + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        lose_long = n - -int(-(THRESHOLD * (n + least_partner(n)) / 2) // 1)
         lose_short = n - -int(-(THRESHOLD * (n + n) / 2) // 1)
-        share = log_share[ids % DF_CELLS]
-        order = np.lexsort((ids, share))[: lose_long + MAX_SHARED]
-        most = MAX_SHARED
-        # Repeated words are numbered, so that a run of common words is a set.
-        toks, logs, seen = [], [], {}
-        for w, s in zip(ids[order].tolist(), share[order].tolist()):
-            k = seen[w] = seen.get(w, 0) + 1
-            toks.append((w * 0x9E3779B97F4A7C15 + k * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF)
-            logs.append(s)
-        sigs, short = [], []
-
-        def grow(start: int, depth: int, key: int, cost: float, skipped_ok: bool) -> None:
-            for i in range(start, min(lose_long + depth, len(toks))):
-                here = (key ^ toks[i]) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF
-                here ^= here >> 32
-                c, ok = cost + logs[i], skipped_ok and i < lose_short + depth
-                if c <= budget + (depth - 1) * log_growth or depth == most:
-                    sigs.append(here)
-                    short.append(ok)
-                else:
-                    grow(i + 1, depth + 1, here, c, ok)
-
-        if 2 * n < 3 * LONG:
-            grow(0, 1, 0, 0.0, True)
-        if n >= LONG:
-            most = 1
-            grow(0, 1, 1, 0.0, True)
-        return sigs, short
+        rare = int(np.searchsorted(ranked, budget, "right"))
+        alone = min(rare, lose_long + 1)
+        sigs = ((toks[:alone] ^ (toks[:alone] >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)).tolist()
+        roles = [LONGER | SHORTER if i <= lose_short else LONGER for i in range(alone)]
+        own = classes_.of(n)
+        for c in (own, own + 1):  # the longer partner is in one of these
+            classes_.of(n * 2)
+            if c == own:
+                lose, short = lose_long, lose_short
+            else:
+                longer = classes_.start[c]
+                lose = short = n - -int(-(THRESHOLD * (n + longer) / 2) // 1)
+                if least_partner(longer) > n:
+                    continue
+            if rare > lose:
+                continue  # a partner shares one of the rare words
+            m = classes_.groups(c)
+            need = (depth - 1) * m + 1
+            prefix, reach = toks[rare : lose + need], lose - rare + need
+            groups: dict[int, list[int]] = {}
+            for i, g in enumerate(((prefix >> np.uint64(20)) % np.uint64(m)).tolist()):
+                groups.setdefault(g, []).append(i)
+            ints, logs = prefix.tolist(), ranked[rare : rare + reach].tolist()
+
+            def grow(members: list[int], start: int, level: int, key: int, cost: float) -> None:
+                for at in range(start, len(members)):
+                    i = members[at]
+                    here = (key ^ ints[i]) * 0xD6E8FEB86659FD93 & M
+                    here ^= here >> 32
+                    now = cost + logs[i]
+                    if level == depth or level > 1 and now <= budget + (level - 1) * log_growth:
+                        sigs.append(here)
+                        roles.append((LONGER if c == own else 0) | (SHORTER if i < short - rare + need else 0))
+                    else:
+                        grow(members, at + 1, level + 1, here, now)
+
+            for members in groups.values():
+                if len(members) > 1:
+                    grow(members, 0, 1, c + 1, 0.0)
+        return sigs, roles
 
     return sign
 
@@ -136,34 +201,35 @@ def _sketch(ids: np.ndarray) -> tuple[int, int]:
     return int(lo), int(hi)
 
 
-_SIG = pa.schema([("sig", pa.int64()), ("rep", pa.int64()), ("n", pa.int32()), ("short", pa.bool_()), ("s0", pa.int64()), ("s1", pa.int64())])
+_SIG = pa.schema([("sig", pa.int64()), ("rep", pa.int64()), ("n", pa.int32()), ("role", pa.int8()), ("s0", pa.int64()), ("s1", pa.int64())])
 
 
 def signatures(reps: DataFrame, counts: np.ndarray) -> DataFrame:
-    df = reps.sparkSession.sparkContext.broadcast(counts)  # a table of fixed size
+    cost = MAX_COST
+    df = reps.sparkSession.sparkContext.broadcast(counts)  # at most ``MOST_CELLS`` numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sign = _signer(df.value)
+        sign = _signer(df.value, cost)
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 b = whole.slice(lo, 2000)
                 rep, ids = b.column(0).to_numpy(), b.column(1)
                 values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
-                sigs, short, counts_, lens, halves = [], [], [], [], []
+                sigs, roles, counts_, lens, halves = [], [], [], [], []
                 for i in range(b.num_rows):
                     words_ = values[offsets[i] : offsets[i + 1]]
                     s, ok = sign(words_)
                     sigs += s
-                    short += ok
+                    roles += ok
                     counts_.append(len(s))
                     lens.append(len(words_))
                     halves.append(_sketch(words_))
                 each = np.array(counts_)
                 half = np.array(halves, np.int64).reshape(-1, 2)
-                cols = [np.array(sigs, np.uint64).view(np.int64), np.repeat(rep, each), np.repeat(np.array(lens, np.int32), each), np.array(short, bool), np.repeat(half[:, 0], each), np.repeat(half[:, 1], each)]
+                cols = [np.array(sigs, np.uint64).view(np.int64), np.repeat(rep, each), np.repeat(np.array(lens, np.int32), each), np.array(roles, np.int8), np.repeat(half[:, 0], each), np.repeat(half[:, 1], each)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SIG)], schema=_SIG)
 
-    return reps.select("rep", "ids").mapInArrow(run, "sig long, rep long, n int, short boolean, s0 long, s1 long")
+    return reps.select("rep", "ids").mapInArrow(run, "sig long, rep long, n int, role tinyint, s0 long, s1 long")
 
 
 def _compare(a: dict[str, np.ndarray], b: dict[str, np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +246,8 @@ def _compare(a: dict[str, np.ndarray], b: dict[str, np.ndarray], same: bool) ->
         i, j = np.nonzero(flips <= loosest)
         ok = flips[i, j] <= np.floor((1 - t) * (a["n"][lo + i] + b["n"][j]) + 1e-9)
         i, j = i[ok] + lo, j[ok]
-        role = np.where(a["n"][i] <= b["n"][j], a["short"][i], False) | np.where(b["n"][j] <= a["n"][i], b["short"][j], False)
+        ra, rb = a["role"][i], b["role"][j]
+        role = (a["n"][i] <= b["n"][j]) & (ra & SHORTER > 0) & (rb & LONGER > 0) | (b["n"][j] <= a["n"][i]) & (rb & SHORTER > 0) & (ra & LONGER > 0)
         keep = role & (a["rep"][i] != b["rep"][j]) & (np.minimum(a["n"][i], b["n"][j]) * (2 - t) >= np.maximum(a["n"][i], b["n"][j]) * t - 1e-9)
         if same:
             keep &= i < j
@@ -191,7 +258,7 @@ def _compare(a: dict[str, np.ndarray], b: dict[str, np.ndarray], same: bool) ->
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (sig, left, right) to candidate pairs; a group of rows is at most two blocks."""
-    names = ["sig", "side", "rep", "n", "short", "s0", "s1"]
+    names = ["sig", "side", "rep", "n", "role", "s0", "s1"]
     rest: dict[str, np.ndarray] | None = None
 
     def emit(cols: dict[str, np.ndarray]) -> pa.RecordBatch | None:
@@ -228,16 +295,18 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _blocked(sigs: DataFrame) -> DataFrame:
     """Signatures with many bearers are cut into blocks; every pair of blocks becomes a group of its own.
 
-    Which are large is read from counts in 2**20 hashed cells: an upper bound of the bearers, of fixed size.
+    Counts in 2**20 hashed cells, a table of fixed size, tell which signatures can't be large; the others are counted
+    one by one.
     """
     cells = 1 << 20
-    cell = F.pmod(F.xxhash64("sig"), F.lit(cells))
-    large = {r[0]: -(-r[1] // BLOCK) for r in sigs.groupBy(cell.alias("c")).count().where(F.col("count") > BLOCK).collect()}
+    cell = F.pmod(F.xxhash64("sig"), F.lit(cells)).alias("_c")
+    full = sigs.groupBy(cell).count().where(F.col("count") > BLOCK).select("_c")
+    counted = sigs.select("sig", cell).join(F.broadcast(full), "_c", "left_semi").groupBy("sig").count()
+    large = written(counted.where(F.col("count") > BLOCK).select("sig", F.ceil(F.col("count") / BLOCK).cast("bigint").alias("_n")), "p2-large")
     plain = sigs.withColumn("side", F.lit(0))
-    if not large:
+    if large.isEmpty():
         return plain
-    per = F.create_map(*[F.lit(x) for kv in large.items() for x in kv])
-    big = plain.withColumn("_n", per[cell])
+    big = plain.join(large, "sig", "left")  # one row in BLOCK at most: broadcast by AQE if its measured size allows it
     small, hot = big.where("_n is null").drop("_n"), big.where("_n is not null")
     mine = hot.withColumn("_b", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("_n")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
@@ -252,7 +321,7 @@ def similar_representatives(reps: DataFrame) -> DataFrame:
     """All pairs (x, y), x < y, of representatives that are similar enough."""
     counts = _cell_counts(reps)
     sigs = _blocked(written(signatures(reps, counts), "p2-signatures"))
-    grouped = sigs.select("sig", "side", "rep", "n", "short", "s0", "s1").repartition("sig").sortWithinPartitions("sig")
+    grouped = sigs.select("sig", "side", "rep", "n", "role", "s0", "s1").repartition("sig").sortWithinPartitions("sig")
     candidates = grouped.mapInArrow(_pairs, "x long, y long").distinct()
     unique = reps.select("rep", _numbered(F.col("ids")).alias("ids"))
     both = candidates.join(unique.select(F.col("rep").alias("x"), F.col("ids").alias("a")), "x").join(unique.select(F.col("rep").alias("y"), F.col("ids").alias("b")), "y")

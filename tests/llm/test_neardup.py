@@ -36,11 +36,10 @@ def corpus(seed=5):
     return [(i, " ".join(t)) for i, t in enumerate(out)] + [(9001, None), (9002, ""), (9003, "short one"), (9004, "W1! " * 5)]
 
 
-@pytest.mark.parametrize("cost,block,long", [(3000, 8192, 80), (1, 8192, 80), (20, 8192, 40), (3000, 16, 80), (20, 8192, 35), (5, 64, 30)])
-def test_all_pairs(spark, monkeypatch, cost, block, long):
+@pytest.mark.parametrize("cost,block", [(3000, 8192), (1, 8192), (20, 8192), (3000, 16), (100, 8192), (5, 64)])
+def test_all_pairs(spark, monkeypatch, cost, block):
     monkeypatch.setattr(N, "MAX_COST", cost)
     monkeypatch.setattr(N, "BLOCK", block)
-    monkeypatch.setattr(N, "LONG", long)
     docs = corpus()
     reps, member = N.classes(spark.createDataFrame(docs, "id long, text string"))
     pairs = {(r["x"], r["y"]) for r in N.similar_representatives(reps).collect()}
@@ -51,6 +50,49 @@ def test_all_pairs(spark, monkeypatch, cost, block, long):
     assert pairs == want and len(want) > 50
 
 
+def sized_corpus(n, seed, vocab=400, families=12):
+    """Families of texts of about n words over a vocabulary that all of them use, with changes up to the threshold."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(families):
+        base = [f"w{int(vocab * rng.random() ** 2)}" for _ in range(n)]
+        out.append(base)
+        for share in (0.05, 0.15, 0.19, 0.21, 0.3):
+            t = [w if rng.random() > share else f"w{int(vocab * rng.random() ** 2)}" for w in base]
+            t = t[: len(t) - rng.randint(0, n // 8)]
+            rng.shuffle(t)
+            out.append(t)
+    return [(i, " ".join(t)) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("n,cost", [(80, 2), (120, 2), (120, 10), (1000, 4), (1000, 3000)])
+def test_long_replies_of_frequent_words(spark, monkeypatch, n, cost):
+    monkeypatch.setattr(N, "MAX_COST", cost)
+    docs = sized_corpus(n, 3)
+    reps, _ = N.classes(spark.createDataFrame(docs, "id long, text string"))
+    pairs = {(r["x"], r["y"]) for r in N.similar_representatives(reps).collect()}
+    want = {(i, j) for i, a in docs for j, b in docs if i < j and dice(a, b) >= 0.8 - 1e-12}
+    assert pairs == want and len(want) > 12
+
+
+def test_signatures_grow_with_length_only():
+    """Of texts in which every word is frequent, the number of signatures is in proportion to the length."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    df = np.full((1 << 16) + 1, 20_000)
+    df[-1] = 1_000_000
+    sign = N._signer(df, 3000)
+    per_word = [len(sign(np.sort(rng.integers(0, 1 << 60, n)))[0]) / n for n in (60, 120, 1000, 8000)]
+    assert max(per_word) < 12 and per_word[-1] < 1.5 * per_word[0]
+
+
+def test_signatures_ask_for_more_words_when_they_are_frequent():
+    import numpy as np
+
+    assert [N.depth_of(np.append(np.full(1 << 16, c), 1_000_000), 3000) for c in (10, 50_000, 300_000, 600_000)] == [2, 2, 3, 4]
+
+
 def test_very_long_texts(spark):
     rng = random.Random(1)
     base = [f"v{rng.randrange(3000)}" for _ in range(30000)]
