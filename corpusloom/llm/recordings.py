@@ -1,22 +1,26 @@
 """Same or near-same recordings across splits: an edit-distance segment join over recording names.
 
-``edit_segment_join`` finds all pairs of an evaluation string and a training string within ``k = 1`` edits.
-Evaluation strings are cut into k+1 = 2 segments; as one of them must occur unchanged at an allowed position of the
-training string and the other then holds at most k edits, the other one is cut into 2 again, so that a segment that
-many strings share makes no hot bucket: every key spans three quarters of the string's information. Training strings emit the substrings at the allowed positions, for each length they can match.
-Candidates are verified by the banded edit-distance of the engine (``levenshtein`` with a threshold).
+``edit_segment_join`` finds all pairs of an evaluation string and a training string within ``k`` edits. Evaluation
+strings are cut into k + ``SPARE`` parts; k edits touch k of them at most, so that ``SPARE`` parts occur unchanged at
+allowed positions: the shift of a part is what the edits before it leave, that of the rest what the lengths ask for. A
+key holds ``SPARE`` unchanged parts (one part, as with k + 1 segments, would be a hot key where names share prefixes).
+Training strings emit the substrings at the allowed positions, for each length they can match. Candidates are verified
+by the banded edit distance of the engine (``levenshtein`` with a threshold).
 
 ``recording_names`` gives each path its source, its name (the part of the path that the source's pattern matches,
-without padding of numbers and letter case; names may still differ by one edit, such as a prefixed letter) and its
-identity, by the rules of the sources. Whatever else a path holds, before or after that part, is in no name; only
-letters and digits that go on an id of fixed length belong to it, as they make it another id.
+without padding of numbers and letter case; names may still differ by edits, such as a prefixed letter) and its
+identity, the characters that name the recording by the rules of the sources. The distance of two names is that of their
+spellings, in which an edit of a character of the identity costs more than k: numbers one digit apart are different
+recordings. Whatever else a path holds, before or after that part, is in no name; only letters and digits that go on
+an id of fixed length belong to it, as they make it another id.
 
 Edge cases: null and blank paths name nothing; a path of no source is its own recording (as the file system resolves
-it); strings of one character work as any other (empty quarters match at any string of allowed length).
+it); strings of one character work as any other (empty parts match at any string of allowed length).
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -30,7 +34,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions.paths import is_blank
 from corpusloom.session import lookup_join, salted_join, table, written
 
-K = 1
+#: Edits, and parts of a name that make a key.
+K, SPARE = 1, 3
 #: Evaluation strings from which the places to cut are chosen.
 CUT_SAMPLE = 20000
 
@@ -88,6 +93,7 @@ class Namer:
     def __init__(self, sources: list[str]):
         self.sources = [(s, s.lower()) for s in sources]
         self.patterns = {s: re.compile(p) for s, p in IDENTITY.items()}
+        self.numeric = {s: [set(g) <= set("\\d+-") for g in re.findall(r"\(([^()]*)\)", p)] for s, p in IDENTITY.items()}
         self.marks, self.extensions = re.compile(COPY_MARKS), re.compile(r"(\.[a-z][a-z0-9]{1,4}){1,2}$")
         self.padding, self.title_number, self.more = re.compile(r"(?<!\d)0+(?=\d)"), re.compile(TITLE_NUMBER), re.compile(r"[a-z0-9]*")
 
@@ -104,10 +110,17 @@ class Namer:
         m = source == "fieldclips" and self.title_number.match(stem) or pattern.search(tail)
         if not m:
             return source, self.padding.sub("", tail), ":" + _resolve(path)
-        shown = m.group(1) if source == "fieldclips" else m.group().lstrip("/")
+        groups = [self.padding.sub("", g) if number else g for g, number in zip(m.groups(), self.numeric[source])]
+        if source == "fieldclips":
+            return source, groups[0], "|".join([source, *groups])
+        shown, at = "", m.start()
+        for k, g in enumerate(groups):
+            shown += tail[at : m.start(k + 1)] + g
+            at = m.end(k + 1)
+        shown = (shown + tail[at : m.end()]).lstrip("/")
         if source in FIXED_IDS:
             shown += self.more.match(tail, m.end()).group()
-        return source, self.padding.sub("", shown), "|".join([source, *(self.padding.sub("", g) for g in m.groups())])
+        return source, shown, "|".join([source, *groups])
 
 
 _NAMES = pa.schema([("side", pa.int32()), ("path", pa.string()), ("source", pa.string()), ("name", pa.string()), ("identity", pa.string())])
@@ -126,8 +139,8 @@ def recording_names(paths: DataFrame, sources: list[str]) -> DataFrame:
     return paths.select(F.col("side").cast("int").alias("side"), "path").mapInArrow(run, "side int, path string, source string, name string, identity string")
 
 
-def segment_cuts(sample: list[tuple[str, str]]) -> dict[tuple[str, int], tuple[int, int, int]]:
-    """Where strings of a group and length are cut into quarters of equal information.
+def segment_cuts(sample: list[tuple[str, str]], parts: int) -> dict[tuple[str, int], tuple[int, ...]]:
+    """Where strings of a group and length are cut into parts of equal information.
 
     ``sample`` holds (group, string). Positions at which all strings agree carry none, so that a shared prefix doesn't
     fill whole segments. Any cuts give all pairs; good ones give few candidates.
@@ -141,36 +154,46 @@ def segment_cuts(sample: list[tuple[str, str]]) -> dict[tuple[str, int], tuple[i
         bits = [sum(n * math.log2(sum(c.values()) / n) for n in c.values()) / sum(c.values()) for c in cols]
         total, acc, at = sum(bits), 0.0, []
         for i, x in enumerate(bits):
-            while len(at) < 3 and acc + x / 2 >= total * (len(at) + 1) / 4:
+            while len(at) < parts - 1 and acc + x / 2 >= total * (len(at) + 1) / parts:
                 at.append(i)
             acc += x
-        at += [len(cols)] * (3 - len(at))
-        cuts[k] = tuple(at)
+        cuts[k] = (*at, *[len(cols)] * (parts - 1 - len(at)))
     return cuts
 
 
-def _keys(g: str, s: str, m: int, cuts: dict) -> set[int]:
-    """The four keys that string s has in common with a string of m characters, if they are in reach.
+def shifts(k: int, spare: int, delta: int) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
+    """(unchanged parts, their shifts) that k edits can leave in a string that is ``delta`` longer.
 
-    The cuts of length m make four quarters. One edit lies in one of them; what precedes it is at the same position
-    from the start, what follows it at the same position from the end. A key holds two segments: one half unchanged,
-    and that quarter of the other half which is unchanged, too.
+    The edits lie in the other k parts; the shift changes only across these, by at most k in all, from 0 to delta. (An
+    insertion between two parts counts as one in the later of them, or in the last.)
     """
-    b1, b2, b3 = cuts.get((g, m)) or (m // 4, m // 2, m * 3 // 4)
-    n = len(s)
-
-    def end(k: int) -> str:
-        return s[n - k :] if k else ""
-
-    parts = (s[:b3], s[:b2] + "\0" + end(m - b3), s[:b1] + "\0" + end(m - b2), end(m - b1))
-    return {xxhash.xxh64_intdigest(f"{g}\0{i}\0{m}\0{x}") - (1 << 63) for i, x in enumerate(parts)}
+    out = []
+    for kept in itertools.combinations(range(k + spare), spare):
+        gaps = [b - a - 1 for a, b in zip((-1, *kept), (*kept, k + spare))]
+        for moved in itertools.product(*[range(-k, k + 1) if g else (0,) for g in gaps[:-1]]):
+            at = tuple(itertools.accumulate(moved))
+            if sum(map(abs, moved)) + abs(delta - at[-1]) <= k and (gaps[-1] or at[-1] == delta):
+                out.append((kept, at))
+    return out
+
+
+def _keys(g: str, s: str, m: int, cuts: dict, k: int, moves: list | None = None) -> set[int]:
+    """The keys that string s has in common with a string of m characters within k edits."""
+    parts = k + SPARE
+    b = (0, *(cuts.get((g, m)) or [m * i // parts for i in range(1, parts)]), m)
+    n, out = len(s), set()
+    for kept, at in moves if moves is not None else shifts(k, SPARE, n - m):
+        if all(0 <= b[p] + d and b[p + 1] + d <= n for p, d in zip(kept, at)):
+            held = "\0".join(s[b[p] + d : b[p + 1] + d] for p, d in zip(kept, at))
+            out.add(xxhash.xxh64_intdigest(f"{g}\0{kept}\0{m}\0{held}") - (1 << 63))
+    return out
 
 
 _KEYED = pa.schema([("g", pa.string()), ("s", pa.string()), ("k", pa.int64())])
 
 
-def edit_segment_join(evals: DataFrame, train: DataFrame) -> DataFrame:
-    """All pairs (``g``, ``a``, ``b``, ``distance``) of strings of one group at most ``K`` edits apart.
+def edit_segment_join(evals: DataFrame, train: DataFrame, k: int = K) -> DataFrame:
+    """All pairs (``g``, ``a``, ``b``, ``distance``) of strings of one group at most ``k`` edits apart.
 
     ``evals`` and ``train`` hold distinct (``g``, ``s``); further columns are ignored. Null strings match nothing; a
     null group is a group. Each pair comes once.
@@ -178,25 +201,27 @@ def edit_segment_join(evals: DataFrame, train: DataFrame) -> DataFrame:
     clean = [x.where("s is not null").select(F.coalesce("g", F.lit("")).alias("g"), "s") for x in (evals, train)]
     step = max(1, clean[0].count() // CUT_SAMPLE)
     sample = clean[0].where(F.pmod(F.xxhash64("g", "s"), F.lit(step)) == 0).limit(2 * CUT_SAMPLE).collect()
-    cuts = segment_cuts([(r[0], r[1]) for r in sample])
+    cuts = segment_cuts([(r[0], r[1]) for r in sample], k + SPARE)
 
     def emitter(reach: int):
+        moves = {d: shifts(k, SPARE, d) for d in range(-reach, reach + 1)} if reach else {0: [(x, (0,) * SPARE) for x in itertools.combinations(range(k + SPARE), SPARE)]}
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 gs, ss, ks = [], [], []
                 for g, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     for m in range(max(0, len(s) - reach), len(s) + reach + 1):
-                        for k in _keys(g, s, m, cuts):
+                        for key in _keys(g, s, m, cuts, k, moves[len(s) - m]):
                             gs.append(g)
                             ss.append(s)
-                            ks.append(k)
+                            ks.append(key)
                 yield pa.RecordBatch.from_arrays([pa.array(gs, pa.string()), pa.array(ss, pa.string()), pa.array(ks, pa.int64())], schema=_KEYED)
 
         return run
 
     left = clean[0].mapInArrow(emitter(0), "g string, s string, k long").select("g", F.col("s").alias("a"), "k")
-    right = clean[1].mapInArrow(emitter(K), "g string, s string, k long").select("g", F.col("s").alias("b"), "k")
-    near = left.join(right, ["k", "g"]).select("g", "a", "b", F.levenshtein("a", "b", K).alias("distance"))
+    right = clean[1].mapInArrow(emitter(k), "g string, s string, k long").select("g", F.col("s").alias("b"), "k")
+    near = left.join(right, ["k", "g"]).select("g", "a", "b", F.levenshtein("a", "b", k).alias("distance"))
     return near.where("distance >= 0").distinct()
 
 
@@ -208,7 +233,7 @@ def mentions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _matches(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs (test path, train path, identity) that name one recording: the segment join, then an exact check of the identity."""
+    """Pairs (test path, train path, identity) that name one recording: names at most ``K`` edits apart, none of them in the identity."""
     sources = source_order(spark, d)
     items, rows = mentions(spark, d)
     paths = items.select(F.lit(0).alias("side"), "path").union(rows.select(F.lit(1), "path")).distinct()
@@ -247,25 +272,30 @@ def p1_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_overlaps": p1_overlaps}
 
-def _sql_identity() -> str:
-    whens = []
-    for s, p in IDENTITY.items():
-        n = p.count("(") - p.count("(?") - p.count(r"\(")
-        groups = " || '|' || ".join(f"regexp_replace(regexp_extract(tail, '{p}', {i + 1}), '(^|[^0-9])0+([0-9])', '\\1\\2', 'g')" for i in range(n))
-        whens.append(f"WHEN source = '{s}' AND regexp_matches(tail, '{p}') THEN '{s}|' || {groups}")
-    return "CASE " + " ".join(whens) + " ELSE ':' || regexp_replace(regexp_replace(path, '/(\\./)+', '/', 'g'), '/+', '/', 'g') END"
-
-
-_SQL = f"""
+#: The rules of the sources once more, by themselves: base is the file's name up to its first dot, folder what holds it.
+_SQL = r"""
 WITH refs AS (
   SELECT 'e' AS side, item_id AS id, split, path FROM test_items UNION ALL
   SELECT DISTINCT 't', row_idx, NULL, path FROM (SELECT row_idx, unnest(audios) AS path FROM train_samples)),
 paths AS (SELECT DISTINCT path FROM refs WHERE trim(coalesce(path, '')) <> ''),
-sourced AS (SELECT path, (SELECT arg_min(m.source, m.match_rank) FROM mix_targets m WHERE contains(lower(p.path), lower(m.source))) AS source FROM paths p),
-tails AS (SELECT path, source, regexp_replace(regexp_replace(regexp_extract(lower(
-    regexp_replace(regexp_replace(replace(path, '%20', ' '), '/(\\./)+', '/', 'g'), '/+', '/', 'g')), '([^/]*/[^/]*)$', 1),
-    '(\\.[a-z][a-z0-9]{{1,4}}){{1,2}}$', ''), '(([0-9])x|~| \\([0-9]+\\)|-copy|_16k|_norm|\\.(wav|mp3|flac))+$', '\\2') AS tail FROM sourced),
-named AS (SELECT path, source, {_sql_identity()} AS identity FROM tails),
+sourced AS (SELECT path, (SELECT arg_min(m.source, m.match_rank) FROM mix_targets m WHERE contains(lower(p.path), lower(m.source))) AS source,
+  list_filter(string_split(lower(path), '/'), lambda x: x NOT IN ('', '.')) AS steps FROM paths p),
+bases AS (SELECT path, source, steps[-2] AS folder, split_part(steps[-1], '.', 1) AS base FROM sourced),
+pieces AS (SELECT path, source, folder, base, list_transform(regexp_extract_all(base, '[0-9]+'), lambda x: ltrim(x, '0') || CASE WHEN ltrim(x, '0') = '' THEN '0' ELSE '' END) AS n,
+  regexp_replace(regexp_extract(base, '^[a-z0-9]+'), '^(.*[0-9])x$', CASE WHEN length(regexp_extract(base, '^[a-z0-9]+')) IN (12, 14) THEN '\1' ELSE '\0' END) AS lead FROM bases),
+named AS (SELECT path, source || ' ' || CASE source
+  WHEN 'talehall' THEN concat_ws(' ', n[1], n[2], n[3])
+  WHEN 'moodbox' THEN concat_ws(' ', n[1], regexp_extract(base, '_([fm])[0-9]', 1), n[2])
+  WHEN 'pairmix' THEN concat_ws(' ', n[1], n[2], n[3], n[4])
+  WHEN 'gigavoice' THEN concat_ws(' ', n[1], n[2])
+  WHEN 'chartsong' THEN lead
+  WHEN 'tunecards' THEN right(lead, 11)
+  WHEN 'capnook' THEN concat_ws(' ', right(split_part(base, '_', 1), 11), ltrim(regexp_extract(base, '^[^_]*_([0-9]+)', 1), '0'))
+  WHEN 'facevoice' THEN concat_ws(' ', folder, n[1])
+  WHEN 'wavtrove' THEN concat_ws(' ', folder, n[1])
+  WHEN 'opentongue' THEN concat_ws(' ', regexp_extract(base, 'ot_([a-z]+)_', 1), n[1])
+  WHEN 'fieldclips' THEN regexp_extract(regexp_replace(base, '%[0-9a-f]{2}', ' ', 'g'), '^[^0-9]*0*([0-9]+)', 1) END AS identity, source FROM pieces
+  UNION ALL SELECT path, ':' || regexp_replace(regexp_replace(path, '/(\./)+', '/', 'g'), '/+', '/', 'g'), NULL FROM pieces WHERE source IS NULL),
 hit AS (SELECT DISTINCT e.id AS item_id, t.id AS row_idx, e.split, ne.source FROM refs e JOIN named ne ON e.path = ne.path
   JOIN named nt ON ne.identity = nt.identity JOIN refs t ON t.path = nt.path WHERE e.side = 'e' AND t.side = 't')
 """

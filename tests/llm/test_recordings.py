@@ -14,15 +14,15 @@ def distance(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("alphabet", ["ab", "0123456789"])
-def test_join_is_complete(spark, alphabet):
+@pytest.mark.parametrize("alphabet,k", [("ab", 1), ("0123456789", 1), ("ab", 0), ("ab", 2), ("0123456789", 2), ("01", 3)])
+def test_join_is_complete(spark, alphabet, k):
     rng = random.Random(3)
     strings = {"".join(rng.choice(alphabet) for _ in range(rng.randint(0, 7))) for _ in range(160)} | {"pre_" + "".join(rng.choice(alphabet) for _ in range(5)) for _ in range(60)}
     strings = sorted(strings)
     left, right = strings[::2], strings[1::3] + strings[::7]
     mk = lambda xs: spark.createDataFrame([("g", x) for x in xs] + [("g", None)], "g string, s string")
-    got = {(r["a"], r["b"]): r["distance"] for r in R.edit_segment_join(mk(left), mk(set(right))).collect()}
-    want = {(a, b): distance(a, b) for a in left for b in set(right) if distance(a, b) <= 1}
+    got = {(r["a"], r["b"]): r["distance"] for r in R.edit_segment_join(mk(left), mk(set(right)), k).collect()}
+    want = {(a, b): distance(a, b) for a in left for b in set(right) if distance(a, b) <= k}
     assert got == want
 
 
@@ -56,6 +56,13 @@ def test_identity(a, b, same):
         assert distance(x[1], y[1]) <= R.K
 
 
+def test_zeros_inside_an_id_count():
+    n = R.Namer(["capnook", "tunecards", "gigavoice"])
+    assert n("/v/tunecards/ab0cd3fgh1j.wav")[2] != n("/v/tunecards/ab00cd3fgh1.wav")[2]
+    assert n("/v/capnook/audio/xri02jjjsu0_010.wav")[1:] == ("xri02jjjsu0_10", "capnook|xri02jjjsu0|10")
+    assert n("/v/gigavoice/a/GVC2000000142/GVC2000000142_S0000001.wav")[1] == "gvc2000000142_s1"
+
+
 ADDED = {
     "talehall": "/v/talehall/TaleHall/train-lit-360/101/10007/101-10007-0033{}.flac",
     "moodbox": "/v/moodbox/Session3/sentences/wav/Mb000007/Mb000007_M017{}.wav",
