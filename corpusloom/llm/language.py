@@ -1,16 +1,20 @@
 """Languages of texts and of their segments, by Bayesian evidence fusion.
 
-Evidence: (1) a naive Bayes text likelihood over words for languages in Latin script and the script itself for Chinese
-and Japanese; (2) the declared language; (3) the language part of the address of the recording (a path part that is a
-language code) and (4) priors of the host (the source of the recording), smoothed towards the priors of the whole
-table, from one grouped aggregation over all rows.
+Likelihoods of a sentence: (1) a naive Bayes model over words for languages in Latin script; for Chinese and Japanese
+how often either writes kana or other characters.
+Prior of a text: (2) P(language | host), from one grouped aggregation over all rows, smoothed over the hierarchy all
+rows, table, host within the table; times the likelihoods (3) P(declared label | language) and (4) P(language part of
+the address | language). How far labels and addresses can be trusted is estimated from texts, not given.
+Posterior: log prior and log likelihoods are added before a language is chosen. Sentences form a chain, whose language
+changes with the probability seen in texts; the most probable chain gives the segments, and a segment's confidence is
+the posterior probability of its language. A weak text so follows its label and host, a strong one its words.
 
 The word likelihoods are fitted on a bounded sample: at most about ``SAMPLE_PER_LANGUAGE`` texts for each declared
-language, drawn by a hash of the id. Wrong labels in it are weighed down in a second round by the first round's vote.
-Priors and the labelling cover every row.
+language, drawn by a hash of the id, whole texts. Wrong labels in it are weighed down by a vote of frequent words. Trust
+in labels and addresses is fitted on about ``TRUST_SAMPLE`` texts. Priors and the labelling cover every row.
 
 Edge cases: null, blank and tag-only texts have no segment; a text without evidence gets the most probable language of
-its declared label and host with a low confidence; ties go to the first language in ``LANGUAGES``.
+its declared label, address and host with a low confidence; ties go to the first language in ``LANGUAGES``.
 """
 
 from __future__ import annotations
@@ -31,10 +35,15 @@ from corpusloom.session import table
 
 LANGUAGES = ("en", "de", "fr", "es", "zh", "ja")
 LATIN = LANGUAGES[:4]
-SAMPLE_PER_LANGUAGE = 2000
+SAMPLE_PER_LANGUAGE, TRUST_SAMPLE = 2000, 6000
+#: Rows from which the priors of a table and of a host count as much as those of the level above.
+SMOOTH = 20
 #: Sentences of fewer words in Latin script don't change the language.
 MIN_UNIT_WORDS = 3
 
+#: Probability that a sentence has another language than the one before, where none is estimated.
+CHANGE = 0.05
+
 # Codes and English names of languages.
 LABELS = {
     "en": ("en", "eng", "english"),
@@ -74,17 +83,29 @@ def words_of(text: str) -> list[str]:
 
 
 class LanguageModel:
-    """Word log-likelihoods of the Latin-script languages, centred, so that an unknown word says nothing."""
+    """Word log-likelihoods of the Latin-script languages, centred, so that an unknown word says nothing, and the
+    log-shares of kana and of other characters in Chinese and Japanese."""
 
-    def __init__(self, weights: dict[str, tuple[float, ...]]):
+    def __init__(self, weights: dict[str, tuple[float, ...]], kana: dict[str, tuple[int, int]] | None = None):
         self.weights = weights
+        # Counts of (kana, all characters); without any, as if one text of a hundred characters each had been seen.
+        share = {l: (k + own[0]) / (n + 100) for l, own in (("zh", (0.01,)), ("ja", (55,))) for k, n in [(kana or {}).get(l, (0, 0))]}
+        self.kana = {l: (math.log(x), math.log(1 - x)) for l, x in share.items()}
 
     @classmethod
     def fit(cls, rows: Iterable[tuple[str, str | None]]) -> LanguageModel:
         """``rows``: (text, declared language). A row counts for the language its words vote for, if they do."""
         votes = {w: l for l in LATIN for w in STOPWORDS[l] if sum(w in STOPWORDS[x] for x in LATIN) == 1}
-        kept = []
+        kept, kana = [], {"zh": [0, 0], "ja": [0, 0]}
         for text, label in rows:
+            n = len(_CJK.findall(text))
+            if n >= 8:
+                k = len(_KANA.findall(text))
+                own = kana["ja" if 5 * k > n else "zh"]
+                own[0] += k
+                own[1] += n
+            if label in kana:
+                continue
             ws = [w for w in words_of(TAG.sub(" ", text)) if not _CJK.search(w)]
             c = Counter(votes[w] for w in ws if w in votes)
             best = c.most_common(2)
@@ -106,7 +127,7 @@ class LanguageModel:
             logs = [math.log((counts[l][w] + 0.05) / size[l]) for l in LATIN]
             mean = max(logs)
             weights[w] = tuple(max(x - mean, -6.0) for x in logs)
-        return cls(weights)
+        return cls(weights, {l: tuple(x) for l, x in kana.items()})
 
     def score(self, ws: list[str]) -> list[float]:
         a = b = c = d = 0.0
@@ -144,71 +165,91 @@ class LanguageModel:
         tail = self._split(ws[at:])
         return head + [(s + at, e + at, v) for s, e, v in tail]
 
-    def units(self, text: str) -> list[tuple[str, str | None, float]]:
-        """(unit, language or None without evidence, margin in nats) for the sentences of a text."""
-        out = []
+    def _characters(self, piece: str) -> tuple[float, ...]:
+        """Log-likelihoods of a piece of Chinese or Japanese, over ``LANGUAGES``."""
+        n, k = len(_CJK.findall(piece)), len(_KANA.findall(piece))
+        far = -min(20.0, 4.0 * n)
+        zh, ja = (k * self.kana[l][0] + (n - k) * self.kana[l][1] for l in ("zh", "ja"))
+        top = max(zh, ja)
+        return far, far, far, far, zh - top, ja - top
+
+    def _latin(self, piece: str) -> list[tuple[str, tuple[float, ...], int]]:
+        ws = words_of(piece)
+        if not ws:
+            return []
+        cuts = self._split(ws)
+        return [(piece if len(cuts) == 1 else " ".join(ws[s:e]), (*(x - max(v) for x in v), *(2 * (-min(20.0, 4.0 * (e - s)),))), e - s) for s, e, v in cuts]
+
+    def evidence(self, text: str) -> list[tuple[str, tuple[float, ...], int]]:
+        """(sentence, log-likelihoods over ``LANGUAGES``, the best being 0, words or characters) of a text. A sentence of
+        fewer than ``MIN_UNIT_WORDS`` words may be a name and says little."""
+        out: list[tuple[str, tuple[float, ...], int]] = []
         for m in _SENTENCE.finditer(TAG.sub(" ", text)):
             piece = m.group()
             n_cjk = len(_CJK.findall(piece))
             if n_cjk:
-                ws = [w for w in words_of(_CJK.sub(" ", piece))]
-                if len(ws) >= 3 and n_cjk >= 4:
+                ws = words_of(_CJK.sub(" ", piece))
+                if len(ws) >= MIN_UNIT_WORDS and n_cjk >= 4:
                     pos = 0
                     for r in _CJK_RUN.finditer(piece):
                         if len(_CJK.findall(r.group())) >= 4:
                             if r.start() > pos:
                                 out += self._latin(piece[pos : r.start()])
-                            out.append((r.group(), "ja" if _KANA.search(r.group()) else "zh", 20.0))
+                            out.append((r.group(), self._characters(r.group()), MIN_UNIT_WORDS))
                             pos = r.end()
                     out += self._latin(piece[pos:])
                     continue
                 if n_cjk >= 2 or not ws:
-                    out.append((piece, "ja" if _KANA.search(piece) else "zh", min(20.0, 4.0 * n_cjk)))
+                    out.append((piece, self._characters(piece), max(n_cjk, MIN_UNIT_WORDS)))
                     continue
             out += self._latin(piece)
         return out
 
-    def _latin(self, piece: str) -> list[tuple[str, str | None, float]]:
-        ws = words_of(piece)
-        if not ws:
-            return []
-        cuts = self._split(ws)
+    def units(self, text: str) -> list[tuple[str, str | None, float]]:
+        """(sentence, its most likely language or None without evidence, margin in nats) of a text."""
         out = []
-        for s, e, v in cuts:
-            ranked = sorted(v, reverse=True)
-            margin = ranked[0] - ranked[1]
-            out.append((piece if len(cuts) == 1 else " ".join(ws[s:e]), LATIN[v.index(ranked[0])] if margin >= 1.5 else None, margin if e - s >= MIN_UNIT_WORDS else min(margin, 1.0)))
+        for unit, v, n in self.evidence(text):
+            best, second = sorted(v, reverse=True)[:2]
+            margin = best - second
+            out.append((unit, LANGUAGES[v.index(best)] if margin >= 1.5 else None, margin if n >= MIN_UNIT_WORDS else min(margin, 1.0)))
         return out
 
-    def segments(self, text: str, prior: dict[str, float] | None = None) -> list[tuple[str, float, str]]:
-        """(language, confidence, text) of the longest runs of sentences in one language."""
-        units = self.units(text)
-        if not units:
+    def segments(self, text: str, prior: dict[str, float] | None = None, change: float = CHANGE) -> list[tuple[str, float, str]]:
+        """(language, confidence, text) of the longest runs of sentences in one language, by the most probable chain of
+        languages given ``prior`` and the probability of a change from one sentence to the next."""
+        seen = self.evidence(text)
+        if not seen:
             return []
-        if any(u[1] and u[2] > 1.0 for u in units):  # a scrap of a word or two joins its neighbours
-            units = [(u, l if m > 1.0 else None, m) for u, l, m in units]
-        known = [u[1] for u in units if u[1]]
-        if not known:
-            total = self.score(words_of(TAG.sub(" ", text)))
-            post = {l: x + math.log((prior or {}).get(l, 1 / 6) + 1e-6) for l, x in zip(LATIN, total)}
-            best = max(post, key=post.get)
-            z = sum(math.exp(x - post[best]) for x in post.values())
-            return [(best, 1 / z, text)]
-        langs: list[str] = []
-        last = known[0]
-        for u in units:
-            last = u[1] or last
-            langs.append(last)
-        out: list[list] = []
-        for (unit, _, margin), l in zip(units, langs):
-            if out and out[-1][0] == l:
-                out[-1][1] += margin
-                out[-1][2] += " " + unit.strip()
-            else:
-                out.append([l, margin, unit.strip()])
-        if len(out) == 1 and prior:
-            out[0][1] += math.log((prior.get(out[0][0], 1 / 6) + 1e-3) / (1 - prior.get(out[0][0], 1 / 6) + 1e-3))
-        return [(l, 1 / (1 + math.exp(-max(-30.0, min(m, 30.0)))), t) for l, m, t in out]
+        logs = [v if n >= MIN_UNIT_WORDS or len(seen) == 1 else tuple(max(x, -1.0) for x in v) for _, v, n in seen]
+        start = [math.log(max((prior or {}).get(l, 1 / 6), 1e-6)) for l in LANGUAGES]
+        stay, move = math.log(1 - change), math.log(change / 5)
+        score, back = [a + b for a, b in zip(start, logs[0])], []
+        for v in logs[1:]:
+            top = max(score)
+            lead = score.index(top)
+            came, now = [], []
+            for k, x in enumerate(v):
+                same, other = score[k] + stay, top + move
+                came.append(k if same >= other or lead == k else lead)
+                now.append(x + max(same, other) if lead != k else x + same)
+            back.append(came)
+            score = now
+        chain = [score.index(max(score))]
+        for came in reversed(back):
+            chain.append(came[chain[-1]])
+        chain.reverse()
+        out, at = [], 0
+        while at < len(chain):
+            end = at
+            total = list(start)
+            while end < len(chain) and chain[end] == chain[at]:
+                total = [x + y for x, y in zip(total, logs[end])]
+                end += 1
+            top = max(total)
+            weight = [math.exp(max(x - top, -40.0)) for x in total]
+            out.append((LANGUAGES[chain[at]], weight[chain[at]] / sum(weight), " ".join(u.strip() for u, _, _ in seen[at:end])))
+            at = end
+        return out
 
 
 def detectable(text: str) -> bool:
@@ -227,12 +268,12 @@ def labelled_turns(spark: SparkSession, d: str) -> DataFrame:
 def fit_model(spark: SparkSession, d: str) -> LanguageModel:
     """A model fitted on the bounded sample of labelled replies and their prompts."""
     labels = table(spark, d, "train_samples").select(normal_label(F.col("lang")).alias("label")).groupBy("label").count().where("label is not null")
-    per = {r[0]: max(1, r[1] // SAMPLE_PER_LANGUAGE) for r in labels.collect() if r[0] in LATIN}  # at most 6 rows
+    per = {r[0]: max(1, r[1] // SAMPLE_PER_LANGUAGE) for r in labels.collect()}  # at most 6 rows
     if not per:
         return LanguageModel.fit([])
     step = F.create_map(*[F.lit(x) for kv in per.items() for x in kv])[F.col("label")]
     chosen = labelled_turns(spark, d).where(step.isNotNull() & (F.pmod(F.xxhash64("row_idx", F.lit(11)), step) == 0))
-    rows = chosen.select(F.substring("text", 1, 20000), F.substring("prompt", 1, 2000), "label").limit(3 * SAMPLE_PER_LANGUAGE * len(LATIN)).collect()
+    rows = chosen.select("text", "prompt", "label").limit(3 * SAMPLE_PER_LANGUAGE * len(LANGUAGES)).collect()
     return LanguageModel.fit([(t, r[2]) for r in rows for t in r[:2] if t])
 
 
@@ -243,37 +284,84 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
     first = F.try_element_at(F.filter("audios", lambda p: ~is_blank(p)), F.lit(1))
     a = t.select(F.lit("train_samples").alias("tbl"), F.col("row_idx").alias("rec_id"), reply().alias("text"), normal_label(F.col("lang")).alias("declared"), first.alias("path"))
     i = table(spark, d, "test_items").select("item_id", "text", "task", "path")
-    p = table(spark, d, "task_prompts").groupBy("task").agg(F.min("reply_lang").alias("reply_lang")).limit(10000)
-    b = i.join(F.broadcast(p), "task", "left").select(F.lit("test_items").alias("tbl"), F.col("item_id").alias("rec_id"), "text", normal_label(F.col("reply_lang")).alias("declared"), "path")
+    p = table(spark, d, "task_prompts").groupBy("task").agg(F.min("reply_lang").alias("reply_lang"))
+    b = i.join(p, "task", "left").select(F.lit("test_items").alias("tbl"), F.col("item_id").alias("rec_id"), "text", normal_label(F.col("reply_lang")).alias("declared"), "path")
     address = normal_label(F.regexp_extract(F.lower("path"), r"/(en|de|fr|es|zh|ja)/", 1))
     return a.unionByName(b).select("tbl", "rec_id", "text", "declared", F.coalesce(source_of(F.col("path"), sources), F.lit("")).alias("host"), address.alias("address"))
 
 
-def host_priors(df: DataFrame) -> dict[tuple[str, str | None, str | None], dict[str, float]]:
-    """P(language | host, address, declared): shares of declared labels in the host, smoothed towards the whole table,
-    times how far a label and an address can be trusted. One grouped aggregation; the number of groups is fixed by the
-    lists of sources and languages."""
-    rows = df.groupBy("host", "address", "declared").count().collect()
-    overall, by_host = Counter(), defaultdict(Counter)
-    for r in rows:
-        if r["declared"]:
-            overall[r["declared"]] += r["count"]
-            by_host[r["host"], r["address"]][r["declared"]] += r["count"]
-    n = sum(overall.values()) + len(LANGUAGES)
-    base = {l: (overall[l] + 1) / n for l in LANGUAGES}
+class Trust:
+    """P(declared label | language) by table and P(language part of the address | language), and how often the language
+    changes from one sentence to the next: counts over texts whose words alone are decisive."""
+
+    def __init__(self, label: dict, address: dict, change: float):
+        self.label, self.address, self.change = label, address, change
+
+    @classmethod
+    def fit(cls, model: LanguageModel, rows: Iterable[tuple[str, str, str | None, str | None]]) -> Trust:
+        """``rows``: (tbl, text, declared, address)."""
+        label, address = defaultdict(Counter), defaultdict(Counter)
+        changes = pairs = 0
+        for tbl, text, declared, part in rows:
+            units = [l for _, l, m in model.units(text) if l and m >= 6.0]
+            changes += sum(a != b for a, b in zip(units, units[1:]))
+            pairs += max(0, len(units) - 1)
+            if units and len(set(units)) == 1:
+                label[tbl, units[0]][declared] += 1
+                address[units[0]][part] += 1
+        return cls(cls._shares(label), cls._shares(address), (changes + 1) / (pairs + 20))
+
+    @staticmethod
+    def _shares(counts: dict) -> dict:
+        """Smoothed shares of the values, null being one, by condition."""
+        values = [None, *LANGUAGES]
+        return {k: {v: (c[v] + 0.5) / (sum(c.values()) + 0.5 * len(values)) for v in values} for k, c in counts.items()}
+
+    def of(self, tbl: str, declared: str | None, address: str | None) -> list[float]:
+        """Likelihood of a label and an address by language; what no text tells of is the same for all."""
+        none: dict = {}
+        return [self.label.get((tbl, l), none).get(declared, 1 / 7) * self.address.get(l, none).get(address, 1 / 7) for l in LANGUAGES]
+
+
+def host_priors(counts: list, trust: Trust) -> dict[tuple[str, str, str | None, str | None], dict[str, float]]:
+    """P(language | table, host, address, declared) of every group, from the counts of the groups.
+
+    P(language | table, host) is the mean of what labels and addresses of the host's rows say, smoothed towards the
+    table's, which is smoothed towards that of all rows. The number of groups is fixed by the lists of sources and
+    languages.
+    """
+
+    def mean(rows: list, base: list[float]) -> list[float]:
+        total = [SMOOTH * b for b in base]
+        for r in rows:
+            seen = [x * b for x, b in zip(trust.of(r["tbl"], r["declared"], r["address"]), base)]
+            z = sum(seen)
+            total = [t + r["count"] * x / z for t, x in zip(total, seen)]
+        return [t / sum(total) for t in total]
+
+    tables, hosts = defaultdict(list), defaultdict(list)
+    for r in counts:
+        tables[r["tbl"]].append(r)
+        hosts[r["tbl"], r["host"]].append(r)
+    overall = mean(counts, [1 / len(LANGUAGES)] * len(LANGUAGES))
+    by_table = {k: mean(rows, overall) for k, rows in tables.items()}
+    by_host = {k: mean(rows, by_table[k[0]]) for k, rows in hosts.items()}
     out = {}
-    for r in rows:
-        c = by_host[r["host"], r["address"]]
-        m = sum(c.values())
-        p = {l: (c[l] + 20 * base[l]) / (m + 20) for l in LANGUAGES}
-        for l in LANGUAGES:
-            if r["declared"]:
-                p[l] *= 0.9 if l == r["declared"] else 0.02
-        z = sum(p.values())
-        out[r["host"], r["address"], r["declared"]] = {l: v / z for l, v in p.items()}
+    for r in counts:
+        p = [x * b for x, b in zip(trust.of(r["tbl"], r["declared"], r["address"]), by_host[r["tbl"], r["host"]])]
+        out[r["tbl"], r["host"], r["address"], r["declared"]] = {l: x / sum(p) for l, x in zip(LANGUAGES, p)}
     return out
 
 
+def fit_priors(df: DataFrame, model: LanguageModel) -> tuple[dict, float]:
+    """Priors by group, from one grouped aggregation over all rows, and the probability of a change."""
+    counts = df.groupBy("tbl", "host", "address", "declared").count().collect()
+    step = max(1, sum(r["count"] for r in counts) // TRUST_SAMPLE)
+    chosen = df.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("tbl", "rec_id", F.lit(19)), F.lit(step)) == 0))
+    trust = Trust.fit(model, [tuple(r) for r in chosen.select("tbl", "text", "declared", "address").limit(3 * TRUST_SAMPLE).collect()])
+    return host_priors(counts, trust), trust.change
+
+
 _OUT = pa.schema([("tbl", pa.string()), ("rec_id", pa.int64()), ("seg_no", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64()), ("n_segments", pa.int64()), ("declared", pa.string()), ("detectable", pa.bool_()), ("n_chars", pa.int64())])
 _DDL = "tbl string, rec_id long, seg_no long, lang string, confidence double, n_segments long, declared string, detectable boolean, n_chars long"
 
@@ -281,14 +369,15 @@ _DDL = "tbl string, rec_id long, seg_no long, lang string, confidence double, n_
 def label(spark: SparkSession, d: str) -> DataFrame:
     """One row per segment of each text that has letters."""
     df = texts(spark, d)
-    model = spark.sparkContext.broadcast((fit_model(spark, d), host_priors(df)))  # both of bounded size
+    fitted = fit_model(spark, d)
+    model = spark.sparkContext.broadcast((fitted, *fit_priors(df, fitted)))  # all of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, priors = model.value
+        m, priors, change = model.value
         for b in batches:
             cols: list[list] = [[] for _ in _OUT]
             for tbl, rec, text, declared, host, address in zip(*(c.to_pylist() for c in b.columns)):
-                segs = m.segments(text, priors.get((host, address, declared))) if text else []
+                segs = m.segments(text, priors.get((tbl, host, address, declared)), change) if text else []
                 ok = bool(segs) and detectable(text)
                 for k, (lang, conf, part) in enumerate(segs):
                     for c, v in zip(cols, (tbl, rec, k + 1, lang, round(conf, 4), len(segs), declared, ok, len(part))):

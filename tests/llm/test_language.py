@@ -41,7 +41,43 @@ def test_declared_labels_mostly_hold(spark, data):
     assert rows[0] > 0.9 and rows[1] > 200
 
 
-def test_priors(spark):
-    df = spark.createDataFrame([("h", None, "de")] * 30 + [("h", None, None)] * 5 + [("o", None, "en")] * 60, "host string, address string, declared string")
-    p = L.host_priors(df)
-    assert p["h", None, None]["de"] > p["h", None, None]["en"] and abs(sum(p["o", None, "en"].values()) - 1) < 1e-9
+def _groups(*rows):
+    return [dict(zip(("tbl", "host", "address", "declared", "count"), r)) for r in rows]
+
+
+def _trust(right=0.9):
+    label = {("t", l): {d: right if d == l else (1 - right) / 6 for d in (None, *L.LANGUAGES)} for l in L.LANGUAGES}
+    return L.Trust(label, {}, 0.05)
+
+
+def test_priors_follow_host_and_label():
+    p = L.host_priors(_groups(("t", "h", None, "de", 300), ("t", "h", None, None, 5), ("t", "o", None, "en", 600), ("t", "rare", None, None, 1)), _trust())
+    assert p["t", "h", None, None]["de"] > 0.8 and p["t", "o", None, "en"]["en"] > 0.95
+    assert abs(sum(p["t", "rare", None, None].values()) - 1) < 1e-9 and p["t", "rare", None, None]["en"] > p["t", "rare", None, None]["de"]  # as in the table
+
+
+def test_trust_is_learned(model):
+    rows = [("t", EN, "en", None)] * 40 + [("t", EN, "de", None)] * 10 + [("t", DE, "de", "de")] * 30 + [("t", f"{EN} {DE}", "en", None)] * 5
+    t = L.Trust.fit(model, rows)
+    assert 0.7 < t.label["t", "en"]["en"] < 0.8 and 0.15 < t.label["t", "en"]["de"] < 0.25 and t.address["de"]["de"] > 0.8 and 0 < t.change < 0.5
+
+
+@pytest.mark.parametrize("text", ["Qwxo Brrtk Kempfx Odzuya.", "音楽"])
+def test_label_and_host_decide_weak_texts(model, text):
+    for lang in L.LATIN if text.isascii() else ("zh", "ja"):
+        (got, sure, _), = model.segments(text, {l: 0.9 if l == lang else 0.02 for l in L.LANGUAGES})
+        assert got == lang and sure < 0.999
+
+
+@pytest.mark.parametrize("text,own", [(EN, "en"), (DE, "de"), (FR, "fr"), (ES, "es"), (ZH, "zh"), (JA, "ja")])
+def test_strong_texts_overrule_label_and_host(model, text, own):
+    for lang in L.LANGUAGES:
+        assert [s[0] for s in model.segments(text, {l: 0.95 if l == lang else 0.01 for l in L.LANGUAGES})] == [own]
+
+
+def test_evidence_against_lowers_the_confidence(model):
+    prior = lambda lang: {l: 0.9 if l == lang else 0.02 for l in L.LANGUAGES}
+    weak = "Qwxo Brrtk near Kempfx."
+    assert model.segments(weak, prior("en"))[0][1] > model.segments(weak, prior("de"))[0][1]
+    mixed = f"{EN} {DE}"
+    assert model.segments(mixed, prior("en"))[0][1] > model.segments(mixed, prior("fr"))[0][1]
