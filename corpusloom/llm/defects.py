@@ -1,10 +1,10 @@
 """Broken prompt and response pairs: each defective pair with the first defect that fits.
 
 ``empty``            no reply, or a complete reply without a letter, digit or answer value
-``refusal``          two automata over the reply (phrases of declining, phrases for the task), in this order in one
-                     sentence, or a phrase of declining with an apology; both are Aho-Corasick machines over phrases
-                     in six languages; every sentence of a reply counts, unless it or the quotation that it is part
-                     of is reported as someone's speech
+``refusal``          automata over the sentences of the reply, in six languages, whose finds lie near one another: who
+                     speaks, a negation of ability, permission, will or fitness, and the task; or an apology and such
+                     a negation with little more; every sentence of a reply counts, whatever its length, unless it or
+                     the quotation that it is part of is reported as someone's speech
 ``copied_question``  a suffix automaton of the prompt's words is traversed with the reply; the reply is covered by runs
                      of the prompt and one run holds most of the question or of the instruction
 ``truncated``        a delimiter stack that isn't empty (JSON, brackets, quotes), or an end at which no sentence ends:
@@ -61,25 +61,22 @@ _ENDED = re.compile(r"[.!?。！？][\"'”’»)\]」』]*$")
 _LEAD = re.compile(r"^[>\s]*(?:(?:[^\W\d_]+ )?[^\W\d_]+\s*[:：]\s+)?")
 _OPTION = re.compile(r"^\s*\(?[A-Z0-9]{1,3}[).:]\s")
 
-# Phrases of declining and phrases for the task, in the six languages.
-DECLINES = [
-    "cannot", "can't", "can’t", "can not", "won't", "won’t", "will not", "unable to", "not able to", "not allowed to", "must decline",
-    "have to decline", "decline to", "rather not", "don't have the ability", "do not have the ability", "don’t have the ability",
-    "not feel comfortable", "not comfortable", "refuse to", "no reply can be given", "not possible for me", "not in a position to",
-    "kann nicht", "kann ich nicht", "kann leider", "kann ich leider", "darf nicht", "darf ich nicht", "darf leider", "leider nicht", "nicht in der lage",
-    "möchte nicht", "möchte ich nicht", "lehne ab", "ne peux pas", "ne puis", "pas en mesure", "je refuse", "ne suis pas", "no puedo", "no me es posible",
-    "lo siento", "no soy capaz", "me niego", "不能", "无法", "没有办法", "没办法", "不可以", "不便", "不会", "拒绝",
-    "できません", "できない", "かねます", "申し訳", "お断り", "ことはでき", "いたしかね", "控えさせ",
-]
-TASKS = [
-    "that question", "this question", "your question", "the question", "this request", "that request", "your request", "the request", "with this", "with that",
-    "audio file", "audio", "the voice", "this recording", "the recording", "the clip", "this clip", "the task", "this task", "an opinion", "the file",
-    "the people", "the speaker", "this content", "such content", "transcribe", "do what you asked", "do as you asked", "with what you asked", "provide what you asked", "what you are asking", "what you're asking", "aufgabe", "aufnahme", "frage", "anfrage", "bitte", "inhalt", "question",
-    "demande", "enregistrement", "tâche", "fichier", "voix", "pregunta", "solicitud", "grabación", "tarea", "archivo", "petición",
-    "要求", "问题", "请求", "录音", "音频", "任务", "内容", "質問", "依頼", "録音", "音声", "作業", "タスク", "リクエスト", "お手伝い", "要望", "お答え", "ご要望",
-]
+# What a sentence of declining is made of, in the six languages; a star stands for any ending.
+# Who speaks, and the model as such.
+SELF = "i i'* me my myself we our us ich mir mich mein* je j'* m'* moi mes yo mí mi mis puedo podría soy debo quiero tengo niego 我 本模型 本助手 模型 抱歉 对不起 不好意思".split()
+MODEL = ["language model", "ai model", "speech model", "as an ai", "ai assistant", "sprachmodell", "als ki", "modèle de lang*", "en tant qu'ia", "modelo de leng*", "como ia", "语言模型", "人工智能", "言語モデル", "aiとして"]
+# Words that refuse by themselves, negations, and what a negation must meet to refuse: ability, permission, will, fitness.
+REFUSES = ["cannot", "can't", "can not", "won't", "unable", "decline", "declining", "refuse", "refusing", "rather not", "pass on", "lehne", "verweigere", "décline", "incapable", "niego", "rechazo", "incapaz", *"不能 无法 没有办法 没办法 不可以 不便 不会 拒绝 不允许 不合适 不愿 できません できない かねます お断り ことはでき 控えさせ わけにはいきません".split()]
+NEGATES = "not no never don't doesn't isn't aren't couldn't wouldn't shouldn't didn't nicht kein* ne n'* pas unmöglich impossible imposible".split()
+ABLE = """can could will would able ability allow* permit* possible right appropriate comfortable position given provide offer kann könnte darf möchte werde lage
+ erlaub* möglich richtig peux puis pourrais mesure permet* autoris* suis puedo podría posible capaz debo quiero correcto""".split()
+# What is declined: the task, the recording, who or what is in it.
+TASK = [*"""question* request* task* audio* recording* clip clips file files voice* speaker* opinion* content transcrib* aufgabe* aufnahme* frage* anfrage* bitte inhalt* stimme* datei*
+ meinung demande* enregistrement* tâche* fichier* voix avis contenu pregunta* solicitud* grabaci* tarea* archivo* petici* opinión voz""".split(), "people in", "what you ask*", "what you are ask*", "what you're ask*", "do as you asked", *"要求 问题 请求 录音 音频 任务 内容 意见 質問 依頼 録音 音声 作業 タスク リクエスト 手伝い 要望 お答え 意見".split()]
 # Apologies, followed by a pause where words are apart.
 APOLOGIES = re.compile(r"\b(sorry|apologies|i apologi[sz]e|entschuldigung|es tut mir leid|tut mir leid|désolée?|pardon|lo siento|perdón)\s*[,.!;:—–-]|对不起|抱歉|不好意思|申し訳|すみません|ごめん")
+# Beginnings of these.
+SORRY = "sorry apolog entschuldigung leid désol pardon siento perdón 对不起 抱歉 不好意思 申し訳 すみません ごめん".split()
 # Words with which someone's speech is reported; what the reader or the writer was asked isn't speech.
 REPORTS = re.compile(r"\b(?<!\byou )(?<!\byou've )(?<!\bi was )(?<!\bi've been )(said|says|yelled|told|asked|asks|sagte|fragt|dit|demande si|cuenta|dijo)\b|说[：:“]|と言")
 # Names of languages in prompts, in the six languages.
@@ -261,18 +258,72 @@ class EndModel:
         return len(word) > 0 and i < len(self.vocabulary) and self.vocabulary[i].startswith(word)
 
 
+def _pattern(phrases: list[str]) -> re.Pattern:
+    whole = [re.escape(p).replace(r"\*", r"\w*") for p in phrases if not _CJK.search(p)]
+    return re.compile("|".join([rf"\b(?:{'|'.join(whole)})\b", *(re.escape(p) for p in phrases if _CJK.search(p))]))
+
+
 def _automaton(phrases: list[str]) -> ahocorasick.Automaton:
+    """Finds what may be one of the phrases, in linear time."""
     a = ahocorasick.Automaton()
     for p in phrases:
-        a.add_word(p, len(p))
+        a.add_word(p.rstrip("*"), p)
     a.make_automaton()
     return a
 
 
+_SELF, _MODEL, _REFUSES, _NEGATES, _ABLE, _TASK = map(_pattern, (SELF, MODEL, REFUSES, NEGATES, ABLE, TASK))
+_NO, _WHAT = _automaton([*REFUSES, *NEGATES]), _automaton([*TASK, *SORRY])
+#: Words (two Chinese or Japanese characters count as one) within which the finds of a refusal lie, those of a negation
+#: and what it negates, and what may follow where an apology takes the place of the task.
+NEAR, CLOSE, REST = 12, 5, 10
+_STEP = re.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ々]{1,2}|[^\W_぀-ヿ㐀-鿿ｦ-ﾟ々]+(?:['-][^\W_]+)*")
+
+
+def _found(a: ahocorasick.Automaton, text: str) -> bool:
+    return next(a.iter(text), None) is not None
+
+
+def declines(sentence: str) -> bool:
+    """Whether a sentence, in lower case, declines a task in the speaker's own name."""
+    if not (_found(_WHAT, sentence) and _found(_NO, sentence)):
+        return False
+    starts = [m.start() for m in _STEP.finditer(sentence)]
+
+    def at(pattern: re.Pattern) -> list[int]:
+        return [bisect.bisect_right(starts, m.start()) for m in pattern.finditer(sentence)]
+
+    able = at(_ABLE)
+    no = at(_REFUSES) + [n for n in at(_NEGATES) if any(abs(n - a) <= CLOSE for a in able)]
+    model = at(_MODEL)
+    if model:
+        no += at(_NEGATES)
+    if not no:
+        return False
+    own = at(_SELF) + model
+    cjk = len(_CJK.findall(sentence)) >= 4
+    near = [n for n in no if (cjk and _KANA.search(sentence)) or any(abs(n - x) <= NEAR for x in own)]
+    if any(abs(n - t) <= NEAR for n in near for t in at(_TASK)):
+        return True
+    sorry = [bisect.bisect_right(starts, m.start()) for m in APOLOGIES.finditer(sentence)]
+    return any(0 <= n - x <= NEAR for n in no for x in sorry) and len(starts) - max(no) <= REST
+
+
+def leaves(value: object) -> list:
+    """The values in a JSON value that are no objects or lists, in order."""
+    out, todo = [], [value]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, (dict, list)):
+            todo += list(x.values() if isinstance(x, dict) else x)[::-1]
+        else:
+            out.append(x)
+    return out
+
+
 class Judge:
     def __init__(self, ends: EndModel, languages: LanguageModel):
         self.ends, self.languages = ends, languages
-        self.declines, self.tasks = _automaton(DECLINES), _automaton(TASKS)
         self._wanted: dict[str, str | None] = {}
 
     def empty(self, text: str) -> bool:
@@ -282,30 +333,15 @@ class Judge:
                 v = json.loads(body)
             except ValueError:
                 return False
-            leaves, todo = [], [v]
-            while todo:
-                x = todo.pop()
-                todo += list(x.values()) if isinstance(x, dict) else x if isinstance(x, list) else []
-                if not isinstance(x, (dict, list)):
-                    leaves.append(x)
-            return not any(any(ch.isalnum() for ch in str(x)) for x in leaves if x is not None)
+            return not any(any(ch.isalnum() for ch in str(x)) for x in leaves(v) if x is not None)
         return not any(ch.isalnum() for ch in body)
 
     def refusal(self, text: str) -> bool:
         shown = TAG.sub(" ", text).replace("’", "'")
-        body = shown.lower()
-        if next(self.declines.iter(body), None) is None:
+        low = shown.lower()
+        if not (_found(_WHAT, low) and _found(_NO, low)):
             return False
-        cjk = len(_CJK.findall(body)) >= 4
-        for sentence, around in ((x.lower().rstrip(), y.lower()) for x, y in spoken(shown)):
-            d = [i for i, _ in self.declines.iter(sentence)]
-            if not d or REPORTS.search(around):
-                continue
-            if APOLOGIES.search(sentence) and len(sentence) <= 80:
-                return True
-            if any(i > d[0] or cjk or "ich" in sentence for i, _ in self.tasks.iter(sentence)) and len(sentence.split()) <= 25:
-                return True
-        return False
+        return any(declines(x.lower()) and not REPORTS.search(y.lower()) for x, y in spoken(shown))
 
     def truncated(self, text: str) -> bool:
         body = TAG.sub(" ", text).strip()
@@ -347,7 +383,11 @@ class Judge:
 
     def other_language(self, prompt_text: str, text: str) -> bool:
         body = TAG.sub(" ", text)
-        if body.lstrip()[:1] == "{" or sum(ch.isalpha() for ch in body) < 4:
+        try:
+            body = " ".join(str(x) for x in leaves(json.loads(body)) if x is not None) if body.lstrip()[:1] in ("{", "[") else body
+        except ValueError:
+            pass
+        if sum(ch.isalpha() for ch in body) < 4:
             return False
         want = self.wanted(prompt_text)
         if want is None:

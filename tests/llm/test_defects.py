@@ -67,6 +67,25 @@ def test_refusal_of_any_length(reply, want):
     assert D.Judge(D.EndModel.fit([]), LanguageModel.fit([])).refusal(reply) == want
 
 
+@pytest.mark.parametrize(
+    "reply,want",
+    [
+        ("I am sorry, but I can't help with this request. " + "We follow rules that apply to all users here. " * 8, True), ("He said hello. I'm sorry, but I cannot transcribe this audio.", True),
+        ("I must respectfully pass on describing the people in this clip.", True), ("As an AI model I do not provide medical diagnoses from recordings.", True),
+        ("My rules do not permit me to judge this recording.", True), ("Diese Frage kann ich aus guten Gründen nicht beantworten.", True), ("Ma politique ne me permet pas de décrire cet enregistrement.", True),
+        ("No me está permitido describir esta grabación.", True), ("我不被允许，所以无法评论这段录音。", True), ("この録音について意見を述べることはできません。", True),
+        ("The recording isn't loud and the voice is calm.", False), ("I cannot find my boots near the river, they said.", False), ("Nobody in the clip answers the question.", False), ("她不会在市场上说话。", False),
+        ("a man says that it is not possible to see the harbour", False), ("I have a question about the recording.", False),
+    ],
+)
+def test_refusals_in_words_of_their_own(reply, want):
+    assert D.Judge(D.EndModel.fit([]), LanguageModel.fit([])).refusal(reply) == want
+
+
+def test_language_of_a_json_reply(judge):
+    assert judge.defect(P, '{"answer": "Im Hintergrund klappert ein Keller, danach folgt die nasse Trommel."}') == "other_language"
+
+
 def test_words_of_all_replies(spark):
     """The fragment test doesn't depend on the size: fragments at cuts are no words, however often they occur."""
     for size in (30, 3000):
