@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.paths import is_blank, posix_resolve
-from corpusloom.operators.orphans import OrphanState, advance, bootstrap, orphans, snapshot
-from corpusloom.session import table
+from corpusloom.operators.orphans import OrphanState, advance, compacted, empty_state, orphans, snapshot
+from corpusloom.session import table, written
 
 
 def _references(df: DataFrame, name: str, rec_id: str, items: str) -> DataFrame:
@@ -26,8 +27,40 @@ def inventory_entries(spark: SparkSession, d: str) -> DataFrame:
     return e.select("entry_id", posix_resolve(F.col("path")).alias("key"), F.col("added_at").alias("added"), F.col("removed_at").alias("removed"))
 
 
+#: Batches in which ``p4_found`` and ``p4_counts`` take the history.
+BATCHES = 2
+#: Batches after which the state is written in one segment a table again.
+COMPACT_EVERY = 16
+
+
+def _history(spark: SparkSession, d: str, ends: Callable[[datetime, datetime], list[datetime]], whole: bool) -> Iterator[tuple[datetime, OrphanState]]:
+    """States as they were at given times: a batch holds the references since the time before, the entries added since
+    and the removals made since. With ``whole`` the last batch brings all that came later, too.
+
+    Entries and references are written once, as every batch reads them.
+    """
+    refs = written(audio_references(spark, d).where(F.col("at").isNotNull()), "p4-references")
+    entries = written(inventory_entries(spark, d).where("added is not null"), "p4-entries")
+    lo, hi = refs.agg(F.min("at"), F.max("at")).first()
+    times = ends(lo, hi) if lo is not None else []
+    state, before = empty_state(spark), None
+    for i, end in enumerate(times):
+        at = F.lit(end).cast("timestamp_ntz")
+        last = whole and i + 1 == len(times)
+        known = entries if last else entries.where(F.col("added") < at).withColumn("removed", F.when(F.col("removed") < at, F.col("removed")))
+        new = known if before is None else known.where((F.col("added") >= before) | (F.col("removed") >= before))
+        fresh = refs if last else refs.where(F.col("at") < at)
+        state = advance(state, new, fresh if before is None else fresh.where(F.col("at") >= before))
+        yield end, state
+        before = at
+
+
 def _state(spark: SparkSession, d: str) -> OrphanState:
-    return bootstrap(inventory_entries(spark, d), audio_references(spark, d))
+    """The state after the whole history, in ``BATCHES`` batches of equal time."""
+    state = empty_state(spark)
+    for _, state in _history(spark, d, lambda lo, hi: [lo + (hi - lo) * i / BATCHES for i in range(1, BATCHES + 1)], True):
+        pass
+    return state
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +71,7 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return snapshot(_state(spark, d))
 
 
-def _quarters(lo, hi) -> list[datetime]:
+def _quarters(lo: datetime, hi: datetime) -> list[datetime]:
     """First days of the quarters after lo, up to the first one after hi."""
     y, q, out = lo.year, (lo.month - 1) // 3, []
     while not out or out[-1] <= hi:
@@ -50,25 +83,17 @@ def _quarters(lo, hi) -> list[datetime]:
 def p4_timeline(spark: SparkSession, d: str) -> DataFrame:
     """Open orphans at the end of every quarter, from a state that is advanced quarter by quarter.
 
-    At the end of a quarter only entries added and removals made before it are known.
+    At the end of a quarter only entries added and removals made before it are known. Each quarter's counts are written
+    when its state is reached, so that a long history makes no long plan.
     """
-    refs, entries = audio_references(spark, d).where(F.col("at").isNotNull()), inventory_entries(spark, d).where("added is not null")
-    lo, hi = refs.agg(F.min("at"), F.max("at")).first()
-    if lo is None:
-        return spark.createDataFrame([], "until string, tbl string, kind string, n long")
-    ends = _quarters(lo, hi)
-    if len(ends) > 200:
-        raise ValueError("more than 200 quarters")
-    state, before, out = None, None, None
-    for end in ends:
-        at = F.lit(end).cast("timestamp_ntz")
-        known = entries.where(F.col("added") < at).withColumn("removed", F.when(F.col("removed") < at, F.col("removed")))
-        new = known if before is None else known.where((F.col("added") >= before) | (F.col("removed") >= before))
-        fresh = refs.where(F.col("at") < at) if before is None else refs.where((F.col("at") >= before) & (F.col("at") < at))
-        state = bootstrap(new, fresh) if state is None else advance(state, new, fresh)
+    out = None
+    for end, state in _history(spark, d, _quarters, False):
         now = snapshot(state).groupBy("tbl", "kind").agg(F.sum("n").alias("n")).select(F.lit(str(end.date())).alias("until"), "tbl", "kind", "n")
-        out, before = now if out is None else out.unionByName(now), at
-    return out
+        now = written(now, "p4-counts")
+        out = now if out is None else out.unionByName(now)
+        if state.batch % COMPACT_EVERY == 0:
+            state.segments = compacted(state).segments
+    return out if out is not None else spark.createDataFrame([], "until string, tbl string, kind string, n long")
 
 
 QUERIES = {"p4_found": p4_found, "p4_counts": p4_counts, "p4_timeline": p4_timeline}

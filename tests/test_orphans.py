@@ -3,7 +3,7 @@ from datetime import datetime
 import pytest
 
 from conftest import rough
-from corpusloom.operators.orphans import advance, bootstrap, orphans, snapshot
+from corpusloom.operators.orphans import advance, bootstrap, compacted, orphans, snapshot
 from corpusloom.plans import references as P
 
 ENTRY, REF = "entry_id long, key string, added timestamp_ntz, removed timestamp_ntz", "tbl string, rec_id long, pos long, key string, at timestamp_ntz"
@@ -56,3 +56,38 @@ def test_rough_tables(spark, tmp_path, rows):
     d = rough(tmp_path, rows)
     assert (P.p4_found(spark, d).count() == 0) == (rows == 0)
     P.p4_counts(spark, d).collect()
+
+
+def _rows_written(state, after):
+    return sum(len(part.collect()) for name, parts in after.segments.items() for part in parts[len(state.segments[name]) :])
+
+
+def test_a_batch_writes_no_more_than_it_brings(spark):
+    """What a batch writes doesn't grow with the history: its own rows, its keys' index and the statuses that turn."""
+    s = bootstrap(entries(spark, [(i, f"k{i}", 1, None) for i in range(400)]), refs(spark, [(i, f"k{i}", 9) for i in range(800)]))
+    s2 = advance(s, entries(spark, [(500, "k500", 2, None), (3, "k3", 1, 5)]), refs(spark, [(900, "k500", 9), (901, "zz", 9)]))
+    assert _rows_written(s, s2) == 2 + 2 + 1 + 1 + 2  # entries, index, settled, new orphan, resolved and reopened
+    assert {k for k in kinds(s2) if k < 400} == {3} and 500 not in kinds(s2) and kinds(s2)[901] == "missing"
+    assert all(len(a) == len(b) + 1 and a[: len(b)] == b for a, b in ((s2.segments[n], s.segments[n]) for n in s.segments))
+
+
+def test_reopened_twice_and_compacted(spark):
+    s = bootstrap(entries(spark, [(1, "a", 1, None)]), refs(spark, [(1, "a", 9), (2, "b", 9), (2, "b", 9)]))
+    seen = []
+    for e in ([(1, "a", 1, 5)], [(2, "a", 6, None)], [(2, "a", 6, 8), (3, "b", 9, None)], []):
+        s = advance(s, entries(spark, e), refs(spark, []))
+        seen.append(kinds(s))
+    assert seen == [{1: "deleted", 2: "missing"}, {2: "missing"}, {1: "deleted"}, {1: "deleted"}]
+    c = compacted(s)
+    assert kinds(c) == kinds(s) and all(len(x) == 1 for x in c.segments.values())
+    assert kinds(advance(c, entries(spark, [(4, "a", 8, None)]), refs(spark, [(7, "a", 9)]))) == {}
+
+
+def test_hot_key(spark):
+    """A third of the references and entries are of one key."""
+    e = entries(spark, [(i, "hot" if i % 3 == 0 else f"k{i}", 1 + i % 20, None) for i in range(6000)])
+    r = refs(spark, [(i, "hot" if i % 3 == 0 else f"k{i + i % 2}", 25) for i in range(6000)])
+    s = bootstrap(e, r)
+    assert "hot" in s.hot
+    s = advance(s, entries(spark, [(i, "hot", 1 + i % 20, 22) for i in range(0, 6000, 3)]), refs(spark, []))
+    assert {k for k in kinds(s) if k % 3 == 0} == set(range(0, 6000, 3)) and kinds(s)[0] == "deleted"
