@@ -219,16 +219,6 @@ def mask_downsample(df: DataFrame, key: str, t: str, mask: str, r: int) -> DataF
     return g.where(F.col("n") == r).select(key, "s", (F.col("m") >= 0.5).alias("any_half"), "all_masked")
 
 
-def piecewise_join(df: DataFrame, x: str, points: list[tuple[float, float]], name: str) -> DataFrame:
-    """A piecewise-linear function by joining its segments, a table of the given breakpoints; ends are constant."""
-    p = sorted(points)
-    inf = float("inf")
-    seg = [(-inf, p[0][0], p[0][0], p[0][1], 0.0, 1.0)] + [(a[0], b[0], a[0], a[1], b[1] - a[1], b[0] - a[0]) for a, b in zip(p, p[1:])] + [(p[-1][0], inf, p[-1][0], p[-1][1], 0.0, 1.0)]
-    table_ = df.sparkSession.createDataFrame(seg, "_lo double, _hi double, _x0 double, _y0 double, _dy double, _dx double")
-    joined = df.join(F.broadcast(table_), (F.col(x) >= F.col("_lo")) & (F.col(x) < F.col("_hi")), "left")
-    return joined.withColumn(name, F.col("_y0") + F.col("_dy") * (F.col(x) - F.col("_x0")) / F.col("_dx")).drop("_lo", "_hi", "_x0", "_y0", "_dy", "_dx")
-
-
 # --- markers and splicing ----------------------------------------------------------------------------------------
 
 

@@ -42,52 +42,62 @@ def additive(mask: Column, low: float = -1000.0) -> Column:
     return F.when(mask, low).otherwise(0.0)
 
 
-def span_starts(length: int, p: float, span: int, least: int, law: str, other: float, apart: bool, rng: np.random.Generator) -> np.ndarray:
-    """Masked places of one row: spans whose number follows p and whose lengths follow a law, within the row."""
-    n = max(least, int(p * length / span + rng.random()))
-    n = min(n, max(1, length // span)) if length >= span else 1
-    if law == "static":
-        sizes = np.full(n, span)
-    elif law == "uniform":
-        sizes = rng.integers(int(other), 2 * span - int(other) + 1, n)
-    elif law == "normal":
-        sizes = np.maximum(1, np.rint(rng.normal(span, other, n))).astype(int)
-    elif law == "poisson":
-        sizes = np.maximum(1, rng.poisson(span, n))
-    else:
+#: Laws of span lengths: (generator, number, typical length, other parameter) to lengths of at least 1.
+LAWS = {
+    "static": lambda rng, n, span, other: np.full(n, span),
+    "uniform": lambda rng, n, span, other: rng.integers(int(other), 2 * span - int(other), n, endpoint=True),
+    "normal": lambda rng, n, span, other: np.rint(rng.normal(span, other, n)).astype(int),
+    "poisson": lambda rng, n, span, other: rng.poisson(span, n),
+}
+
+
+def span_count(length: int, p: float, span: int, least: int, draw: float) -> int:
+    """How many spans cover the share p of a row, the fraction being rounded by a draw from [0, 1); as many as ``least``
+    and no more than find room side by side, but one."""
+    return max(1, min(max(least, math.floor(p * length / span + draw)), length // span))
+
+
+def strewn(length: int, sizes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Places of spans that may overlap: different starts, from which the shortest span fits; what sticks out is cut."""
+    room = max(1, length - int(sizes.min()))
+    sizes = sizes[:room]
+    start = rng.permutation(room)[: len(sizes)]
+    edge = np.bincount(start, minlength=length + 1) - np.bincount(np.minimum(start + sizes, length), minlength=length + 1)
+    return np.flatnonzero(np.cumsum(edge[:length]) > 0)
+
+
+def spaced(length: int, sizes: np.ndarray, space: int, rng: np.random.Generator) -> np.ndarray:
+    """Places of spans that keep ``space`` open frames between them: what the spans leave is dealt over the gaps before,
+    between and behind them, all ways being equally likely. The last spans are left out while there is no room."""
+    ends = np.cumsum(sizes) + space * np.arange(len(sizes))
+    sizes = sizes[: int(np.searchsorted(ends, length, "right"))]
+    k = len(sizes)
+    if not k:
+        return np.zeros(0, int)
+    free = length - int(sizes.sum()) - space * (k - 1)
+    bars = np.sort(rng.permutation(free + k)[:k]) - np.arange(k)  # free frames in front of each span
+    start = bars + np.concatenate([[0], np.cumsum(sizes[:-1] + space)])
+    return np.repeat(start, sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def span_places(length: int, p: float, span: int, least: int, law: str, other: float, apart: bool, space: int, rng: np.random.Generator) -> np.ndarray:
+    """Sorted masked places of one row."""
+    drawn = LAWS[law](rng, span_count(length, p, span, least, rng.random()), span, other)
+    sizes = np.clip(drawn, 1, max(1, length - 1))
+    return spaced(length, sizes, space, rng) if apart else strewn(length, sizes, rng)
+
+
+def span_mask(df: DataFrame, row: str, length: str, p: float = 0.65, span: int = 10, least: int = 2, law: str = "static", other: float = 0.0, apart: bool = False, space: int = 1, seed: int = 42, epoch: int = 0) -> DataFrame:
+    """(row, length, masked): sorted masked places of each row. Spans overlap or, with ``apart``, keep ``space`` frames
+    between them. Rows of no length have none; a row is never masked whole (its last place is left open then)."""
+    if law not in LAWS:
         raise ValueError(f"no law {law!r}")
-    if sizes.sum() == 0:
-        sizes[0] = min(span, length - 1)
-    if apart:
-        out, free = [], [(0, length)]
-        for s in sorted(sizes.tolist(), reverse=True):
-            rooms = [(a, b) for a, b in free if b - a >= s + 1]
-            if not rooms:
-                continue
-            weights = np.array([b - a - s for a, b in rooms], float)
-            a, b = rooms[int(rng.choice(len(rooms), p=weights / weights.sum()))]
-            at = int(rng.integers(a, b - s))
-            out += range(at, at + s)
-            free.remove((a, b))
-            free += [(a, at - 1), (at + s + 1, b)]
-        places = np.array(sorted(out), int)
-    else:
-        m = int(sizes.min())
-        room = max(1, length - m)
-        starts = rng.choice(room, min(n, room), replace=False)
-        places = np.unique(np.concatenate([np.arange(s, s + k) for s, k in zip(starts, sizes)]))
-    return places[(places >= 0) & (places < length)]
-
-
-def span_mask(df: DataFrame, row: str, length: str, p: float = 0.65, span: int = 10, least: int = 2, law: str = "static", other: float = 0.0, apart: bool = False, seed: int = 42, epoch: int = 0) -> DataFrame:
-    """(row, length, masked): sorted masked places of each row. Rows of no length have none; a row is never masked
-    whole (its last place is left open then)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             out = []
             for r, n in zip(pdf["row"], pdf["length"]):
-                places = span_starts(int(n), p, span, least, law, other, apart, np.random.default_rng(row_seed(seed, epoch, r))) if n and n > 0 else np.zeros(0, int)
+                places = span_places(int(n), p, span, least, law, other, apart, space, np.random.default_rng(row_seed(seed, epoch, r))) if n and n > 0 else np.zeros(0, int)
                 out.append((places[:-1] if n and len(places) >= n else places).tolist())
             yield pd.DataFrame({"row": pdf["row"], "length": pdf["length"], "masked": out})
 
@@ -95,11 +105,25 @@ def span_mask(df: DataFrame, row: str, length: str, p: float = 0.65, span: int =
     return src.mapInPandas(run, "row long, length long, masked array<long>")
 
 
-def equalised(df: DataFrame, key: str, places: str, seed: int) -> DataFrame:
-    """All rows cut to the smallest number of masked places, those with the least hashes being kept."""
-    least = df.agg(F.min(F.size(places)).alias("_m"))
-    keyed = F.array_sort(F.transform(places, lambda x: F.struct(uniform(seed, F.col(key), x).alias("u"), x.alias("v"))))
-    return df.crossJoin(F.broadcast(least)).withColumn(places, F.array_sort(F.transform(F.slice(keyed, 1, F.greatest(F.col("_m"), F.lit(0))), lambda s: s.v))).drop("_m")
+def equalised(df: DataFrame, key: str, places: str, seed: int, length: str | None = None) -> DataFrame:
+    """All rows with the same number of masked places: cut to the smallest number or, given the column of lengths, filled
+    up to the greatest with open places (all of them, if a row has too few). Places of the least hashes go first."""
+    ranked = lambda a: F.transform(F.array_sort(F.transform(a, lambda x: F.struct(uniform(seed, F.col(key), x).alias("u"), x.alias("v")))), lambda s: s.v)
+    size = F.greatest(F.size(places), F.lit(0))
+    bound = df.agg((F.min(size) if length is None else F.max(size)).alias("_m"))
+    both = df.crossJoin(F.broadcast(bound))  # one row
+    if length is None:
+        return both.withColumn(places, F.array_sort(F.slice(ranked(F.col(places)), F.lit(1), F.col("_m")))).drop("_m")
+    all_ = F.when(F.col(length) > 0, F.sequence(F.lit(0).cast("bigint"), F.col(length).cast("bigint") - 1)).otherwise(F.array().cast("array<bigint>"))
+    more = F.slice(ranked(F.array_except(all_, places)), F.lit(1), F.greatest(F.col("_m") - size, F.lit(0)))
+    return both.withColumn(places, F.array_sort(F.concat(places, more))).drop("_m")
+
+
+def thinned(df: DataFrame, key: str, places: str, share: float, seed: int) -> DataFrame:
+    """Mask drop-out: the share of the masked places, rounded, that has the least hashes is left open, row by row."""
+    ranked = F.transform(F.array_sort(F.transform(places, lambda x: F.struct(uniform(seed, "thin", F.col(key), x).alias("u"), x.alias("v")))), lambda s: s.v)
+    gone = F.round(F.size(places) * share).cast("int")
+    return df.withColumn(places, F.array_sort(F.slice(ranked, gone + 1, F.greatest(F.size(places) - gone, F.lit(0)))))
 
 
 def mask_ratio(masks: DataFrame) -> DataFrame:

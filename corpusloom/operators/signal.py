@@ -1,19 +1,23 @@
-"""Signals: down-mixing, resampling, chunking and filter-bank features, in numpy over Arrow batches."""
+"""Signals: down-mixing, resampling, chunking and filter-bank features, in numpy over Arrow batches.
+
+What an encoder wants of its audio is a ``Plan``: rate, down-mix, greatest length, chunks, extractor and what counts as
+the length. Plans are looked up by the encoder's name, once per query or per row of a routed table.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.sources.audio import nested
+
 RATE = 16000
-#: Longest audio in seconds, by kind of encoder; others take the default.
-MOST_SECONDS = {"short_window": 30}
-DEFAULT_SECONDS = 120
 
 
 def downmix(x: np.ndarray, policy: str = "mean") -> np.ndarray:
@@ -48,11 +52,12 @@ def chunked(x: np.ndarray, size: int, always: bool = False) -> np.ndarray:
     return np.pad(x, (0, n * size - len(x))).reshape(n, size)
 
 
-def mel_filters(n_mels: int, n_fft: int, rate: int, low: float = 20.0, high: float | None = None) -> np.ndarray:
-    """Triangular filters at equal distances on the mel scale 1127 ln(1 + f / 700)."""
+def mel_filters(n_mels: int, n_fft: int, rate: int, low: float = 20.0, high: float | None = None, straight_in: str = "mel") -> np.ndarray:
+    """Triangular filters at equal distances on the mel scale 1127 ln(1 + f / 700), with sides straight in mel or hertz."""
     mel = lambda f: 1127 * np.log1p(np.asarray(f) / 700)
     edges = np.linspace(mel(low), mel(high or rate / 2), n_mels + 2)
-    at = mel(np.arange(n_fft // 2 + 1) * rate / n_fft)
+    at = np.arange(n_fft // 2 + 1) * rate / n_fft
+    edges, at = (edges, mel(at)) if straight_in == "mel" else (700 * np.expm1(edges / 1127), at)
     up = (at - edges[:-2, None]) / (edges[1:-1] - edges[:-2])[:, None]
     down = (edges[2:, None] - at) / (edges[2:] - edges[1:-1])[:, None]
     return np.maximum(0, np.minimum(up, down))
@@ -71,33 +76,116 @@ def log_mel(x: np.ndarray, rate: int = RATE, n_mels: int = 128, window: float =
     return np.log(np.maximum(power @ mel_filters(n_mels, n_fft, rate).T, floor)).astype(np.float32)
 
 
-def raw(x: np.ndarray, rate: int = RATE) -> np.ndarray:
-    """The samples as frames of one value."""
-    return np.asarray(x, np.float32)[:, None]
+def mel_spectrogram(x: np.ndarray, rate: int = 24000, n_fft: int = 960, hop: int = 240, n_mels: int = 128, floor: float = 1e-7) -> np.ndarray:
+    """(frames, n_mels) logarithms of mel magnitudes of frames centred at every ``hop``-th sample, the signal being
+    mirrored at its ends; what is below ``floor`` counts as ``floor``."""
+    if not len(x):
+        return np.zeros((0, n_mels), np.float32)
+    padded = np.pad(x, n_fft // 2, mode="reflect" if len(x) > 1 else "edge")
+    frames = np.lib.stride_tricks.sliding_window_view(padded, n_fft)[::hop]
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n_fft) / n_fft)
+    size = np.abs(np.fft.rfft(frames * hann, n_fft))
+    return np.log(np.maximum(size @ mel_filters(n_mels, n_fft, rate, 0.0, straight_in="hertz").T, floor)).astype(np.float32)
+
 
+def padded_mel(x: np.ndarray, seconds: int = 30, n_mels: int = 128, hop: int = 160) -> tuple[np.ndarray, np.ndarray]:
+    """Features of ``seconds`` of audio, silence behind it included, and a mask of the frames that hold audio. Silent
+    frames are constant and aren't computed."""
+    total, x = seconds * RATE // hop, x[: seconds * RATE]
+    held = -(-len(x) // hop)
+    own = mel_spectrogram(np.pad(x, (0, 400)), RATE, 400, hop, n_mels)[:total]
+    out = np.full((total, n_mels), np.log(1e-7), np.float32)
+    out[: len(own)] = own
+    return out, np.arange(total) < held
 
-#: Extractors by name; register more for other encoders.
-EXTRACTORS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"log_mel": log_mel, "raw": raw}
 
+def raw(x: np.ndarray, rate: int = RATE) -> np.ndarray:
+    """The samples as frames of one value."""
+    return np.asarray(x, np.float32)[:, None]
 
-def features(audio: DataFrame, extractor: str = "log_mel", chunk_seconds: int = 30, kind: str = "", policy: str = "mean", always: bool = False) -> DataFrame:
-    """Decoded audio (path, ok, sample_rate, channels) to (path, chunk, n_frames, frames).
 
-    Broken rows give nothing. Audio is mixed down, brought to 16 kHz, cut at the longest length of the kind, chunked
-    and described. One row per chunk.
+#: Extractors by name, from samples to frames or to (frames, mask); register more for other encoders.
+EXTRACTORS: dict[str, Callable[[np.ndarray], np.ndarray | tuple[np.ndarray, np.ndarray]]] = {"log_mel": log_mel, "raw": raw, "mel_24k": mel_spectrogram, "padded_mel": padded_mel}
+
+
+@dataclass(frozen=True)
+class Plan:
+    """How audio is prepared. ``length`` is what counts as the length of a chunk: its ``frames``, the ``mask``'s sum, the
+    ``samples`` or a number. Chunks are as long as ``chunk_seconds``, for audio that is longer or with ``always`` for all."""
+
+    extractor: str = "log_mel"
+    rate: int | None = RATE
+    policy: str = "mean"
+    most_seconds: float = 120
+    chunk_seconds: float | None = None
+    always: bool = False
+    length: str | int = "frames"
+
+
+# Encoders by name.
+PLANS: dict[str, Plan] = {
+    "zipformer2": Plan("log_mel", chunk_seconds=30),
+    "dasheng": Plan("log_mel"),
+    "dasheng_wavlm": Plan("raw", length="samples"),
+    "whisper_beats": Plan("padded_mel", policy="first", most_seconds=30, length="samples"),
+    "whisper": Plan("padded_mel", policy="first", length=1500),
+    "qwenomni": Plan("padded_mel", policy="first", length="mask"),
+    "qwen3omni": Plan("padded_mel", policy="first", length="mask"),
+    "mimo": Plan("mel_24k", rate=24000),
+    "perception_av": Plan("padded_mel", length="mask"),
+    "audio_flamingo": Plan("padded_mel", policy="first", most_seconds=30, length="mask"),
+}
+
+
+def plan_of(encoder: str) -> Plan:
+    try:
+        return PLANS[encoder]
+    except KeyError:
+        raise ValueError(f"no encoder {encoder!r}; there are {', '.join(sorted(PLANS))}") from None
+
+
+def prepared(channels: list[np.ndarray], old: int, plan: Plan) -> Iterator[tuple[int, np.ndarray, int]]:
+    """(chunk, frames, length) of decoded audio: mixed down, brought to the plan's rate, cut, chunked and described. The
+    last chunk's length is that of its audio, 50 frames at least, as an encoder of fixed chunks wants it."""
+    f, rate = EXTRACTORS[plan.extractor], plan.rate or old
+    x = downmix(np.stack(channels).astype(float), plan.policy) if channels else np.zeros(0)
+    x = resample(x, old, rate)[: round(plan.most_seconds * rate)]
+    size = round(plan.chunk_seconds * rate) if plan.chunk_seconds else max(1, len(x))
+    parts = chunked(x, size, plan.always)
+    for k, c in enumerate(parts):
+        y = f(c)
+        frames, mask = y if isinstance(y, tuple) else (y, None)
+        n = {"frames": len(frames), "samples": len(c)}.get(plan.length, plan.length)
+        if plan.length == "mask":
+            n = int(mask.sum()) if mask is not None else len(frames)
+        last = k + 1 == len(parts) and len(parts) * size > len(x) and len(x) > 0 and (len(parts) > 1 or plan.always)
+        if last and plan.length == "frames" and plan.extractor == "log_mel":
+            n = max(math.ceil((size - (len(parts) * size - len(x))) / 160), 50)
+        yield k, frames, int(n)
+
+
+_FEATURES = pa.schema([("path", pa.string()), ("chunk", pa.int32()), ("length", pa.int64()), ("n_frames", pa.int32()), ("frames", pa.list_(pa.list_(pa.float32())))])
+
+
+def features(audio: DataFrame, encoder: str | Column | Plan = "zipformer2") -> DataFrame:
+    """Decoded audio (path, ok, sample_rate, channels) to (path, chunk, length, n_frames, frames), one row per chunk.
+
+    ``encoder`` is the name of a plan for all rows, a plan, or a column of names by which rows are routed; a null name
+    and a broken row give nothing, an unknown name is an error.
     """
-    if extractor not in EXTRACTORS:
-        raise ValueError(f"no extractor {extractor!r}")
-    f, most = EXTRACTORS[extractor], MOST_SECONDS.get(kind, DEFAULT_SECONDS) * RATE
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for path, rate, channels in zip(pdf["path"], pdf["sample_rate"], pdf["channels"]):
-                x = downmix(np.stack([np.asarray(c, float) for c in channels]), policy) if len(channels) else np.zeros(0)
-                for k, c in enumerate(chunked(resample(x, int(rate), RATE)[:most], chunk_seconds * RATE, always)):
-                    y = f(c)
-                    rows.append((path, k, len(y), [v.tolist() for v in y]))
-            yield pd.DataFrame(rows, columns=["path", "chunk", "n_frames", "frames"])
-
-    return audio.where(F.col("ok")).select("path", "sample_rate", "channels").mapInPandas(run, "path string, chunk int, n_frames int, frames array<array<float>>")
+    given = encoder if isinstance(encoder, Plan) else plan_of(encoder) if isinstance(encoder, str) else None
+    name = encoder if isinstance(encoder, Column) else F.lit("")
+    if given is not None and given.extractor not in EXTRACTORS:
+        raise ValueError(f"no extractor {given.extractor!r}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                path, rate, channels, route = (b.column(c)[i] for c in range(4))
+                own = [np.asarray(c.values) for c in channels]
+                for k, y, n in prepared(own, rate.as_py(), given or plan_of(route.as_py())):
+                    cols = [pa.array([path.as_py()]), pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([len(y)], pa.int32()), nested([list(y)])]
+                    yield pa.RecordBatch.from_arrays(cols, schema=_FEATURES)
+
+    rows = audio.where(F.col("ok")).select("path", "sample_rate", "channels", name.alias("encoder")).where("encoder is not null")
+    return rows.mapInArrow(run, "path string, chunk int, length long, n_frames int, frames array<array<float>>")

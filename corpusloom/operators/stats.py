@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.piecewise import ramps
+
 
 def masked_mean(df: DataFrame, key: str, value: str, valid: Column) -> DataFrame:
     return df.groupBy(key).agg(F.avg(F.when(valid, F.col(value))).alias("mean"))
@@ -104,6 +106,4 @@ def cross_entropy(df: DataFrame, key: str, logit: str, is_target: Column, ignore
 
 def schedule(step: Column, points: list[tuple[float, float]], default: float, training: bool = True) -> Column:
     """A piecewise-linear function of the step in training, a fixed value otherwise and for null steps."""
-    from corpusloom.functions.mathx import Piecewise
-
-    return F.coalesce(Piecewise(*points).column(step.cast("double")), F.lit(default)) if training else F.lit(default)
+    return F.coalesce(ramps(step.cast("double"), points), F.lit(default)) if training else F.lit(default)

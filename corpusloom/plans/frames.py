@@ -9,6 +9,7 @@ from corpusloom.functions import arrays as A
 from corpusloom.functions import mathx as M
 from corpusloom.operators import frames as W
 from corpusloom.operators import masking, stats, vq
+from corpusloom.operators import piecewise as PW
 from corpusloom.plans.corpus import h60
 from corpusloom.session import table, written
 
@@ -149,13 +150,15 @@ POINTS, OTHER = [(0.0, 10.0), (20.0, 2.0), (100.0, 0.5)], [(0.0, 0.0), (50.0, 6.
 
 
 def piecewise_eval(s, d):
-    return W.piecewise_join(table(s, d, "events").select("event_id", "value"), "value", POINTS, "y").select("event_id", F.round("y", 9).alias("y"))
+    values = table(s, d, "events").select("event_id", "value")
+    return PW.evaluate(values, "value", PW.breakpoints(s, f=POINTS), "f", "y").select("event_id", F.round("y", 9).alias("y"))
 
 
 def piecewise_max(s, d):
-    f = M.Piecewise(*POINTS).max(M.Piecewise(*OTHER))
-    g = (M.Piecewise(*POINTS) + M.Piecewise(*OTHER)) * 2.0
-    return table(s, d, "events").select("event_id", r(f.column(F.col("value")), "y"), r(g.column(F.col("value")), "z"))
+    p = PW.breakpoints(s, f=POINTS, g=OTHER)
+    made = PW.combined(p, "f", "g", "max", "top").unionByName(PW.scaled(PW.combined(p, "f", "g", "sum", "sum"), "sum", 2.0))
+    values = table(s, d, "events").select("event_id", "value")
+    return PW.evaluate(PW.evaluate(values, "value", made, "top", "y"), "value", made, "sum", "z").select("event_id", r(F.col("y"), "y"), r(F.col("z"), "z"))
 
 
 def pad_mask(s, d):

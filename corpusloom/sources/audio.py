@@ -11,7 +11,7 @@ import wave
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,22 +46,33 @@ def wav(content: bytes, frames: int | None = None) -> tuple[int, np.ndarray]:
     return rate, x.reshape(-1, n).T
 
 
+def nested(rows: list[list[np.ndarray]]) -> pa.Array:
+    """Rows of lists of vectors as an Arrow array of lists of lists of floats, without a Python number for each."""
+    vectors = [np.ascontiguousarray(v, np.float32).ravel() for r in rows for v in r]
+    inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, vectors)]), pa.int32()), pa.array(np.concatenate(vectors) if vectors else np.zeros(0, np.float32)))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), inner)
+
+
+_ROW = pa.schema([("path", pa.string()), ("ok", pa.bool_()), ("error", pa.string()), ("sample_rate", pa.int32()), ("channels", pa.list_(pa.list_(pa.float32())))])
+
+
 def decode(files: DataFrame, frames: int | None = None) -> DataFrame:
-    """(path, content) of binary files to decoded rows. ``frames`` limits what is read of each."""
+    """(path, content) of binary files to decoded rows. ``frames`` limits what is read of each. Every row leaves as soon
+    as it is decoded, so that no more than one decoded file is held."""
     table = dict(DECODERS)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(*(b.column(i) for i in (0, 1))):
+                name = path.as_py()
                 try:
-                    rate, x = table[path.rsplit(".", 1)[-1].lower()](bytes(content), frames)
-                    rows.append((path, True, None, rate, [c.tolist() for c in x]))
+                    rate, x = table[name.rsplit(".", 1)[-1].lower()](content.as_py(), frames)
+                    cols = [[name], [True], [None], [rate], nested([list(x)])]
                 except Exception as e:  # any broken file is a row
-                    rows.append((path, False, f"{type(e).__name__}: {e}"[:200], None, None))
-            yield pd.DataFrame(rows, columns=["path", "ok", "error", "sample_rate", "channels"])
+                    cols = [[name], [False], [f"{type(e).__name__}: {e}"[:200]], [None], [None]]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, _ROW)], schema=_ROW)
 
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
 def read_audio(spark: SparkSession, path: str, frames: int | None = None) -> DataFrame:

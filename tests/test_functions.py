@@ -76,17 +76,6 @@ def test_ends(spark):
     assert one(spark, A.where_mask(a, F.array(F.lit(True), F.lit(False), F.lit(True)))) == [1, 3]
 
 
-def test_piecewise_golden(spark):
-    p, q = M.Piecewise((0, 10.0), (1, 0.0)), M.Piecewise((0.5, 15.0), (0.6, 1.0))
-    assert [p.at(x) for x in (-100, 0, 0.5, 1, 2)] == [10, 10, 5, 0, 0]
-    for x in (-1.0, 0.0, 0.25, 0.5, 0.55, 0.575, 0.6, 0.8, 1.0, 3.0):
-        assert p.max(q).at(x) == pytest.approx(max(p.at(x), q.at(x)))
-        assert p.min(q).at(x) == pytest.approx(min(p.at(x), q.at(x)))
-        assert (p + q).at(x) == pytest.approx(p.at(x) + q.at(x))
-        assert (p * 3).at(x) == pytest.approx(3 * p.at(x))
-        assert one(spark, p.max(q).column(F.lit(x))) == pytest.approx(max(p.at(x), q.at(x)))
-
-
 def test_activations(spark):
     for x in (-30.0, -1.0, 0.0, 2.0, 40.0):
         assert one(spark, M.swoosh_l(F.lit(x))) == pytest.approx(np.logaddexp(0, x - 4) - 0.08 * x - 0.035)

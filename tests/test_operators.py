@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import corpus as C
 from corpusloom.operators import frames as W
 from corpusloom.operators import masking, stats, vq
+from corpusloom.operators import piecewise as PW
 from corpusloom.operators import samples as S
 from corpusloom.operators.rules import Rule
 from corpusloom.session import hot_keys, lookup_join
@@ -128,6 +129,44 @@ def test_mask_ratio(spark):
     assert len(eq) == 1
 
 
+def test_spans_apart_keep_their_space(spark):
+    df = spark.range(300).select(F.col("id").alias("row"), (F.col("id") % 97 + 3).alias("n"))
+    for r in masking.span_mask(df, "row", "n", span=4, apart=True, space=2, p=0.5).collect():
+        runs = np.split(np.array(r["masked"]), np.flatnonzero(np.diff(r["masked"]) > 1) + 1)
+        assert all(len(x) <= 4 for x in runs) and all(b[0] - a[-1] > 2 for a, b in zip(runs, runs[1:])) and r["masked"]
+    first = [r["masked"][0] for r in masking.span_mask(spark.range(2000).select(F.col("id").alias("row"), F.lit(12).alias("n")), "row", "n", span=3, p=0.5, apart=True).collect()]
+    assert set(first) >= {0, 1, 2, 3, 4}  # gaps of all sizes
+
+
+def test_equalised_upwards_and_thinned(spark):
+    df = spark.createDataFrame([(1, 10, [1, 2, 3]), (2, 10, [5]), (3, 2, [0]), (4, 0, [])], "row long, n long, masked array<long>")
+    up = {r["row"]: r["masked"] for r in masking.equalised(df, "row", "masked", 1, "n").collect()}
+    assert up[1] == [1, 2, 3] and len(up[2]) == 3 and 5 in up[2] and up[3] == [0, 1] and up[4] == [] and up[2] == sorted(set(up[2]))
+    thin = {r["row"]: r["masked"] for r in masking.thinned(df, "row", "masked", 1 / 3, 7).collect()}
+    assert len(thin[1]) == 2 and set(thin[1]) < {1, 2, 3} and thin[2] == [5] and thin[4] == []
+    with pytest.raises(ValueError, match="no law"):
+        masking.span_mask(df, "row", "n", law="other")
+
+
+def test_piecewise_algebra(spark):
+    f, g = [(0, 10.0), (1, 0.0)], [(0.5, 15.0), (0.6, 1.0)]
+    p = PW.breakpoints(spark, f=f, g=g)
+    xs = [-100.0, -1.0, 0.0, 0.25, 0.5, 0.55, 0.575, 0.6, 0.8, 1.0, 3.0]
+    made = PW.combined(p, "f", "g", "max", "top").union(PW.combined(p, "f", "g", "min", "low")).union(PW.combined(p, "f", "g", "sum", "sum")).union(PW.scaled(p, "f", 3.0, 1.0, "three"))
+    df = spark.createDataFrame([(x,) for x in [*xs, None]], "x double")
+    for name in ("top", "low", "sum", "three"):
+        df = PW.evaluate(df, "x", made, name, name)
+    rows = {r["x"]: r for r in df.withColumn("f", PW.ramps(F.col("x"), f)).withColumn("g", PW.ramps(F.col("x"), g)).collect()}
+    assert [rows[x]["f"] for x in (-100.0, 0.0, 0.25, 1.0, 3.0)] == [10, 10, 7.5, 0, 0]
+    for x in xs:
+        a, b = np.interp(x, *zip(*f)), np.interp(x, *zip(*g))
+        got = rows[x]
+        assert [got[k] for k in ("f", "g", "top", "low", "sum", "three")] == pytest.approx([a, b, max(a, b), min(a, b), a + b, 3 * a + 1])
+    assert rows[None]["f"] is None and rows[None]["top"] is None
+    with pytest.raises(ValueError, match="different places"):
+        PW.breakpoints(spark, f=[(0, 1), (0, 2)])
+
+
 def test_feature_mask_is_nested(spark):
     df = spark.range(500).select(*[masking.feature_mask(F.col("id"), F.lit(d), 1, 2, 0.875, 3).alias(f"d{d}") for d in range(3)])
     rows = df.collect()

@@ -91,8 +91,10 @@ def test_audio(spark, tmp_path):
         assert np.abs(np.array(rows[f"w{w}.wav"]["channels"][0]) - tone).max() < tol
     short = {r["path"].rsplit("/", 1)[-1]: r for r in audio.read_audio(spark, str(tmp_path), frames=100).where("ok").collect()}
     assert len(short["w2.wav"]["channels"][0]) == 100
-    f = signal.features(audio.read_audio(spark, str(tmp_path)).where("path like '%w2%'"), chunk_seconds=1).collect()
-    assert [(r["chunk"], r["n_frames"], len(r["frames"][0])) for r in f] == [(0, 98, 128)]
+    f = signal.features(audio.read_audio(spark, str(tmp_path)).where("path like '%w2%'"), signal.Plan(chunk_seconds=1)).collect()
+    assert [(r["chunk"], r["n_frames"], r["length"], len(r["frames"][0])) for r in f] == [(0, 98, 98, 128)]
+    f = signal.features(audio.read_audio(spark, str(tmp_path)).where("path like '%w2%'"), signal.Plan(chunk_seconds=0.8)).collect()
+    assert [(r["chunk"], r["n_frames"], r["length"]) for r in f] == [(0, 78, 78), (1, 78, 50)]  # the last holds 0.2 s
 
 
 def test_signal():
@@ -109,6 +111,25 @@ def test_signal():
     assert signal.log_mel(np.zeros(10)).shape == (0, 128)
 
 
+def test_mel_spectrogram():
+    x = np.sin(2 * np.pi * 3000 * np.arange(24000) / 24000)
+    y = signal.mel_spectrogram(x)
+    assert y.shape == (101, 128) and y.min() >= np.log(1e-7) - 1e-6
+    edges = 700 * np.expm1(np.linspace(0, 1127 * np.log1p(12000 / 700), 130) / 1127)
+    assert abs(edges[y[50].argmax() + 1] - 3000) < 150
+    bank = signal.mel_filters(128, 960, 24000, 0.0, straight_in="hertz")
+    assert bank.shape == (128, 481) and bank.min() >= 0 and bank.max() <= 1 + 1e-9
+
+
+def test_plans():
+    frames, mask = signal.padded_mel(np.ones(1000))
+    assert frames.shape == (3000, 128) and mask.sum() == 7 and np.allclose(frames[100:], np.log(1e-7))
+    assert len(signal.PLANS) == 10 and [n for _, _, n in signal.prepared([np.ones(1000)], 16000, signal.plan_of("whisper"))] == [1500]
+    with pytest.raises(ValueError, match="no encoder"):
+        signal.plan_of("nope")
+    assert [(k, len(y), n) for k, y, n in signal.prepared([], 16000, signal.Plan("raw"))] == [(0, 0, 0)]
+
+
 def test_probe(spark):
     rows = [("a.mp3", b"ID3\x04"), ("b.mp3", bytes([255, 251, 144, 0])), ("c.mp3", b"RIFF"), ("d.mp3", b""), ("e.wav", b"")]
     df = spark.createDataFrame([(p, bytearray(c)) for p, c in rows], "path string, content binary")
