@@ -3,13 +3,15 @@
 Seconds of a sample are the lengths of its audio items (the valid length of the last added entry of the resolved path);
 an item counts for its own source, the sample is drawn with the source that holds most of its seconds and is used as
 often at most as the least ``max_repeats`` of all sources of its items allows, items of no valid length included. Samples
-fall into cells (source, cap, language, topic); languages are normalised and topics beyond the ``TOPICS`` most frequent pooled,
-so that the table of cells has a fixed bound and is fitted on the driver:
+fall into cells (source, cap, language, topic); languages are normalised and topics are the values of ``task_type``, of
+which more than ``MOST_TOPICS`` are refused, so that the table of cells has a bound and is fitted on the driver:
 
 * the total is the largest at which every source can reach its share without more than ``max_repeats`` uses of any
   sample (or a given, smaller one);
 * weights, the expected uses of a sample, are raked in turn to the marginals of topic, language (both as in the
-  collection) and source (the targets), cut at the caps and raked again until the sources fit.
+  collection) and source (the targets), cut at the caps, until a round changes nothing. Where caps or the sources' own
+  languages and topics leave no weights that meet all three, the sources' targets hold and ``p3_marginals`` tells how far
+  the others are reached.
 
 Samples are then drawn with the calibrated probabilities: the whole part of a weight always, the fraction by systematic
 sampling over the samples of a source ordered by length, so that the seconds drawn stay close to the seconds wanted.
@@ -31,9 +33,10 @@ from corpusloom.llm.language import normal_label
 from corpusloom.llm.recordings import source_of, source_order
 from corpusloom.session import lookup_join, table, written
 
-TOPICS = 40
+MOST_TOPICS = 10_000
 BLOCK = 50_000
-ROUNDS = 60
+#: Rounds of raking at most, and the relative change of weights at which it ends.
+ROUNDS, STILL = 500, 1e-5
 
 
 def durations(inventory: DataFrame) -> DataFrame:
@@ -45,8 +48,9 @@ def durations(inventory: DataFrame) -> DataFrame:
 def sample_seconds(spark: SparkSession, d: str, sources: list[str], repeats: list[int]) -> DataFrame:
     """(row_idx, language, topic, cap, seconds by source, source) of every sample that can be used."""
     t = table(spark, d, "train_samples")
-    topics = [r[0] for r in t.groupBy("task_type").count().where("task_type is not null").orderBy(F.desc("count"), "task_type").limit(TOPICS).collect()]
-    item = t.select("row_idx", F.coalesce(normal_label(F.col("lang")), F.lit("")).alias("language"), _topic(F.col("task_type"), topics).alias("topic"), F.explode("audios").alias("item"))
+    if t.agg(F.count_distinct("task_type")).first()[0] > MOST_TOPICS:
+        raise ValueError(f"more than {MOST_TOPICS} values of task_type")
+    item = t.select("row_idx", F.coalesce(normal_label(F.col("lang")), F.lit("")).alias("language"), F.coalesce("task_type", F.lit("")).alias("topic"), F.explode("audios").alias("item"))
     item = item.where(~is_blank(F.col("item"))).withColumn("item_source", source_of(F.col("item"), sources)).where("item_source is not null")
     sized = lookup_join(item.withColumn("key", posix_resolve(F.col("item"))), durations(table(spark, d, "audio_inventory")), "key", "left")
     sums = [F.sum(F.when(F.col("item_source") == s, F.coalesce("seconds", F.lit(0.0))).otherwise(0.0)).alias(f"s{i}") for i, s in enumerate(sources)]
@@ -61,10 +65,6 @@ def sample_seconds(spark: SparkSession, d: str, sources: list[str], repeats: lis
     return by_row.withColumn("main", main)
 
 
-def _topic(c: Column, topics: list[str]) -> Column:
-    return F.when(c.isin(topics), c).when(c.isNotNull(), F.lit("(other)")).otherwise("") if topics else F.lit("")
-
-
 def rake(seconds: np.ndarray, main: np.ndarray, language: np.ndarray, topic: np.ndarray, share: np.ndarray, repeats: np.ndarray, total: float | None = None, caps: np.ndarray | None = None) -> np.ndarray:
     """Expected uses of the samples of each cell.
 
@@ -96,10 +96,11 @@ def _raked(seconds: np.ndarray, main: np.ndarray, language: np.ndarray, topic: n
     cell = seconds.sum(1)
     natural = [(codes, np.bincount(codes, cell) / cell.sum()) for codes in (topic, language)]
     for _ in range(ROUNDS):
+        before = w
         for codes, part in natural:
             now = np.bincount(codes, w * cell, len(part))
             f = np.where(now > 0, part * (w * cell).sum() / np.maximum(now, 1e-9), 1.0)
-            w = np.minimum(w * np.clip(f, 0.5, 2.0)[codes], cap)
+            w = np.minimum(w * f[codes], cap)
         for _ in range(30):  # cut cells leave their part to the others of the source
             now = (w[:, None] * seconds).sum(0)
             gap = want - now
@@ -112,6 +113,8 @@ def _raked(seconds: np.ndarray, main: np.ndarray, language: np.ndarray, topic: n
             f = np.where(over, want / np.maximum(now, 1e-9), f)
             act = free | over[main]
             w = np.where(act, np.clip(w * np.maximum(f, 0)[main], 0, cap), w)
+        if np.abs(w - before).max() <= STILL * max(1e-9, w.max()):
+            break
     return w
 
 
@@ -119,7 +122,7 @@ def mix(samples: DataFrame, sources: list[str], share: list[float], repeats: lis
     """Samples with ``copies`` > 0. ``samples`` is read from files and has the columns of ``sample_seconds``."""
     spark = samples.sparkSession
     names = [f"s{i}" for i in range(len(sources))]
-    # At most sources x different repeats x (languages + 1) x (TOPICS + 2) rows.
+    # At most sources x different repeats x (languages + 1) x (MOST_TOPICS + 1) rows.
     cells = samples.groupBy("main", "cap", "language", "topic").agg(F.count(F.lit(1)).alias("n"), *[F.sum(n).alias(n) for n in names]).orderBy("main", "cap", "language", "topic").collect()
     code = {k: {v: i for i, v in enumerate(sorted({c[k] for c in cells}))} for k in ("language", "topic")}
     w = rake(
@@ -144,7 +147,7 @@ def mix(samples: DataFrame, sources: list[str], share: list[float], repeats: lis
 
 def _targets(spark: SparkSession, d: str) -> tuple[list[str], list[float], list[int]]:
     sources = source_order(spark, d)
-    rows = {r["source"]: r for r in table(spark, d, "mix_targets").where("source is not null").limit(1000).collect()}
+    rows = {r["source"]: r for r in table(spark, d, "mix_targets").where("source is not null").collect()}  # as many as ``source_order`` allows
     return sources, [max(0.0, rows[s]["target_share"] or 0.0) for s in sources], [1 if rows[s]["max_repeats"] is None else max(0, rows[s]["max_repeats"]) for s in sources]
 
 
@@ -175,5 +178,21 @@ def p3_shares(spark: SparkSession, d: str) -> DataFrame:
     return agg.join(F.broadcast(total)).select("source", "target_share", F.round(F.col("seconds") / F.col("total"), 6).alias("actual_share"), F.round("seconds", 2).alias("seconds"), "n_samples", "most_copies")
 
 
-QUERIES = {"p3_mix": p3_mix, "p3_shares": p3_shares}
+def p3_marginals(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of seconds by language and by topic: in the collection, as weighted, and as drawn."""
+    sources, share, repeats = _targets(spark, d)
+    if not sources:
+        return spark.createDataFrame([], "kind string, value string, natural_share double, weighted_share double, actual_share double")
+    samples = written(sample_seconds(spark, d, sources, repeats), "p3-samples")
+    size = sum((F.col(f"s{i}") for i in range(len(sources))), F.lit(0.0))
+    drawn = mix(samples, sources, share, repeats).select("row_idx", "weight", "copies")
+    both = samples.withColumn("size", size).join(drawn, "row_idx", "left").select("language", "topic", "size", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("copies", F.lit(0)).alias("copies"))
+    pair = F.explode(F.array(F.struct(F.lit("language").alias("kind"), F.col("language").alias("value")), F.struct(F.lit("topic").alias("kind"), F.col("topic").alias("value"))))
+    by = both.groupBy("language", "topic").agg(F.sum("size").alias("n"), F.sum(F.col("size") * F.col("weight")).alias("w"), F.sum(F.col("size") * F.col("copies")).alias("c"))
+    long = by.select(pair.alias("p"), "n", "w", "c").groupBy("p.kind", "p.value").agg(*[F.sum(x).alias(x) for x in "nwc"])
+    total = long.groupBy("kind").agg(*[F.sum(x).alias(f"t{x}") for x in "nwc"])
+    return long.join(F.broadcast(total), "kind").select("kind", "value", *[F.round(F.col(x) / F.col(f"t{x}"), 6).alias(n) for x, n in (("n", "natural_share"), ("w", "weighted_share"), ("c", "actual_share"))])
+
+
+QUERIES = {"p3_mix": p3_mix, "p3_shares": p3_shares, "p3_marginals": p3_marginals}
 ORACLE: dict[str, str] = {}

@@ -252,8 +252,9 @@ def isotonic(score: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarra
 
 
 class Grader:
-    def __init__(self, lex: Lexicon, models: list[Trees], steps: list[tuple[np.ndarray, np.ndarray]], accuracy: dict[str, float]):
+    def __init__(self, lex: Lexicon, models: list[Trees], steps: list[tuple[np.ndarray, np.ndarray]], accuracy: dict[str, float], report: list[tuple[str, int, float, float]] | None = None):
         self.lex, self.models, self.steps, self.accuracy = lex, models, steps, accuracy
+        self.report = report or []
 
     @classmethod
     def fit(cls, docs: list[tuple[str, str, dict[int, float]]]) -> Grader:
@@ -263,7 +264,7 @@ class Grader:
         parsed = [units(d[1]) for d in docs]
         sources = sorted({d[0] for d in docs})
         fold = np.array([sources.index(d[0]) % FOLDS for d in docs]) if len(sources) >= FOLDS else np.arange(len(docs)) % FOLDS
-        oof = np.zeros((len(docs), 4))
+        oof, lexical = np.zeros((len(docs), 4)), np.zeros((len(docs), 4))
         w = np.array([1.0 if max(d[2].values()) > 0.99 else 0.5 for d in docs])
         for k in sorted(set(fold.tolist())):
             tr, te = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
@@ -271,16 +272,18 @@ class Grader:
                 tr = te
             voc = Vocabulary(Lexicon.fit([(parsed[i], mean[i]) for i in tr]))
             xt, xe = (features(voc, [parsed[i] for i in rows])[0] for rows in (tr, te))
+            lexical[te] = xe[:, :4]
             for j in range(4):
                 oof[te, j] = Trees.fit(xt, target[tr, j], w[tr], j).predict(xe)
         steps = [isotonic(oof[:, j], target[:, j], w) for j in range(4)]
         lex = Lexicon.fit(list(zip(parsed, mean)))
         x = features(Vocabulary(lex), parsed)[0]
         out = cls(lex, [Trees.fit(x, target[:, j], w, j) for j in range(4)], steps, {})
-        hit = out.decide(oof) == target.argmax(1) + 1
+        hit, plain = (d == target.argmax(1) + 1 for d in (out.decide(oof), lexical.argmax(1) + 1))
         for s in sources:
             mine = np.array([d[0] == s for d in docs])
             out.accuracy[s] = float(hit[mine].mean())
+            out.report.append((s, int(mine.sum()), out.accuracy[s], float(plain[mine].mean())))
         return out
 
     def decide(self, raw: np.ndarray) -> np.ndarray:
@@ -343,7 +346,7 @@ def _language_sample(docs: DataFrame) -> list[tuple[str, str]]:
         return []
     step = F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])[label]
     chosen = docs.where(step.isNotNull() & F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit(13)), step) == 0))
-    return [(r[0], r[1]) for r in chosen.select(F.substring("text", 1, 2000), label).limit(2 * SAMPLE_PER_LANGUAGE * len(LATIN)).collect()]
+    return [(r[0], r[1]) for r in chosen.select("text", label).limit(2 * SAMPLE_PER_LANGUAGE * len(LATIN)).collect()]
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("reading_level", pa.int32())])
@@ -378,5 +381,13 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return levels(spark, d)
 
 
-QUERIES = {"p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile}
+def p9_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Cross-validated by source: labelled English documents, and the share of them given the level most raters give, by
+    the trees and by the largest share of the lexicon alone (each from models that saw no document of the source's fold)."""
+    _, grader = fit(spark, d)
+    rows = [(s, n, round(a, 6), round(b, 6)) for s, n, a, b in (grader.report if grader else [])]
+    return spark.createDataFrame(rows, "source string, n_labelled long, accuracy double, lexicon_accuracy double")
+
+
+QUERIES = {"p9_found": p9_found, "p9_levels": p9_levels, "p9_profile": p9_profile, "p9_accuracy": p9_accuracy}
 ORACLE: dict[str, str] = {}

@@ -49,3 +49,23 @@ def test_least_repeats_of_all_sources_held(spark, data):
     held = item.select("row_idx", source_of(F.col("p"), sources).alias("s")).groupBy("row_idx").agg(F.collect_set("s").alias("held"))
     mixed = M.p3_mix(spark, d).join(held, "row_idx").select("copies", least.alias("most"))
     assert mixed.where("copies > 1").count() > 0 and mixed.where("copies > most").count() == 0
+
+
+def test_all_three_marginals_are_met():
+    r = np.random.default_rng(5)
+    n = 400
+    main, lang, topic = r.integers(0, 3, n), r.integers(0, 4, n), r.integers(0, 5, n)
+    seconds = np.zeros((n, 3))
+    seconds[np.arange(n), main] = 10 + r.random(n) * 100
+    w = M.rake(seconds, main, lang, topic, np.array([0.2, 0.3, 0.5]), np.array([3, 3, 3]), total=seconds.sum() / 3)
+    cell = seconds.sum(1)
+    for codes in (lang, topic):
+        assert np.allclose(np.bincount(codes, w * cell) / (w * cell).sum(), np.bincount(codes, cell) / cell.sum(), atol=1e-3)
+
+
+def test_marginals(spark, data):
+    rows = M.p3_marginals(spark, data.replace("sf0.001", "sf0.1")).collect()
+    for kind in ("language", "topic"):
+        mine = [r for r in rows if r["kind"] == kind]
+        assert len(mine) > 3 and all(sum(r[c] for r in mine) == pytest.approx(1, abs=1e-4) for c in ("natural_share", "weighted_share", "actual_share"))
+        assert all(abs(r["natural_share"] - r["weighted_share"]) < 0.005 for r in mine)
