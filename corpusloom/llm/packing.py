@@ -34,8 +34,9 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 DIMS, BITS = 3, 10
 TOKENS_PER_RANGE = 4_000_000
-#: Documents packed together, and containers that stay open from one window to the next.
-WINDOW, OPEN = 4096, 64
+#: Documents packed together, and containers that stay open from one window to the next. The smaller the window, the
+#: nearer on the curve are the documents of a container, and the more room is left over.
+WINDOW, OPEN = 512, 64
 
 
 def tokenizer(path: str = TOKENIZER):

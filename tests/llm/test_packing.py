@@ -58,3 +58,19 @@ def test_pattern_is_that_of_the_vocabulary():
 def test_fill(spark, data):
     low = P.p7_fill(spark, data).groupBy("container").agg(F.avg("fill").alias("f"), F.count("*").alias("n")).collect()
     assert all(r["f"] > 0.95 or r["n"] < 20 for r in low)
+
+
+def test_containers_hold_neighbours_of_the_curve(spark, data):
+    """Documents of one container lie near one another on the curve, not as anywhere in the collection."""
+    import numpy as np
+
+    items = {r["doc_id"]: r for r in P.sized(P.table(spark, data.replace("sf0.001", "sf0.1"), "documents")).collect() if r["n_tokens"]}
+    order = sorted(items.values(), key=lambda r: (r["curve"], r["doc_id"]))
+    spread = lambda keys: np.mean([np.std(k) for k in keys if len(k) > 1])
+    packer, held = P.Packer(2048), {}
+    for lo in range(0, len(order), P.WINDOW):
+        part = order[lo : lo + P.WINDOW]
+        for number, doc, *_ in packer.window([r["doc_id"] for r in part], [r["n_tokens"] for r in part]):
+            held.setdefault(number, []).append(items[doc]["curve"])
+    assert spread(held.values()) < 0.15 * np.std([r["curve"] for r in order])
+    assert sum(r["n_tokens"] for r in order) / (2048 * packer.made) > 0.99
