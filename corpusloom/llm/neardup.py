@@ -26,6 +26,7 @@ Edge cases: null replies, replies of fewer words and empty tables give no rows;
 from __future__ import annotations
 
 import bisect
+import functools
 import math
 from collections.abc import Iterator
 from fractions import Fraction
@@ -137,10 +138,26 @@ def _signer(df: np.ndarray, most_cost: float):
     log_share = np.log(np.maximum(df[:-1], 1) / total)
     budget, log_growth = float(np.log(most_cost / total)), float(np.log(GROWTH))
     classes_ = LengthClasses(depth_of(df, most_cost))
-    depth, M = classes_.depth, 0xFFFFFFFFFFFFFFFF
+    depth = classes_.depth
 
-    def sign(ids: np.ndarray) -> tuple[list[int], list[int]]:
+    @functools.cache
+    def bounds(n: int) -> tuple[int, int, list[tuple[int, bool, int, int, int]]]:
+        """What a document of n words may lose to a shorter and to a longer partner; and for both classes that the longer
+        partner may be in: the class, whether it is its own, what it may lose, what as the shorter, and the groups."""
+        lose_long = n - -int(-(THRESHOLD * (n + least_partner(n)) / 2) // 1)
+        lose_short = n - -int(-(THRESHOLD * (n + n) / 2) // 1)
+        own = classes_.of(n)
+        classes_.of(2 * n)
+        both = [(own, True, lose_long, lose_short, classes_.groups(own))]
+        longer = classes_.start[own + 1]
+        if least_partner(longer) <= n:
+            lose = n - -int(-(THRESHOLD * (n + longer) / 2) // 1)
+            both.append((own + 1, False, lose, lose, classes_.groups(own + 1)))
+        return lose_long, lose_short, both
+
+    def sign(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(ids)
+        lose_long, lose_short, both = bounds(n)
         share = log_share[ids % cells]
         order = np.lexsort((ids, share))
         ranked, ids = share[order], ids[order]
@@ -148,52 +165,43 @@ def _signer(df: np.ndarray, most_cost: float):
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         k = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
         toks = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (k + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        lose_long = n - -int(-(THRESHOLD * (n + least_partner(n)) / 2) // 1)
-        lose_short = n - -int(-(THRESHOLD * (n + n) / 2) // 1)
         rare = int(np.searchsorted(ranked, budget, "right"))
         alone = min(rare, lose_long + 1)
-        sigs = ((toks[:alone] ^ (toks[:alone] >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)).tolist()
-        roles = [LONGER | SHORTER if i <= lose_short else LONGER for i in range(alone)]
-        own = classes_.of(n)
-        for c in (own, own + 1):  # the longer partner is in one of these
-            classes_.of(n * 2)
-            if c == own:
-                lose, short = lose_long, lose_short
-            else:
-                longer = classes_.start[c]
-                lose = short = n - -int(-(THRESHOLD * (n + longer) / 2) // 1)
-                if least_partner(longer) > n:
-                    continue
+        sigs = [_mixed(toks[:alone] ^ (toks[:alone] >> np.uint64(32)))]
+        roles = [np.where(np.arange(alone) <= lose_short, LONGER | SHORTER, LONGER).astype(np.int8)]
+        for c, own, lose, short, m in both:
             if rare > lose:
                 continue  # a partner shares one of the rare words
-            m = classes_.groups(c)
             need = (depth - 1) * m + 1
-            prefix, reach = toks[rare : lose + need], lose - rare + need
-            groups: dict[int, list[int]] = {}
-            for i, g in enumerate(((prefix >> np.uint64(20)) % np.uint64(m)).tolist()):
-                groups.setdefault(g, []).append(i)
-            ints, logs = prefix.tolist(), ranked[rare : rare + reach].tolist()
-
-            def grow(members: list[int], start: int, level: int, key: int, cost: float) -> None:
-                for at in range(start, len(members)):
-                    i = members[at]
-                    here = (key ^ ints[i]) * 0xD6E8FEB86659FD93 & M
-                    here ^= here >> 32
-                    now = cost + logs[i]
-                    if level == depth or level > 1 and now <= budget + (level - 1) * log_growth:
-                        sigs.append(here)
-                        roles.append((LONGER if c == own else 0) | (SHORTER if i < short - rare + need else 0))
-                    else:
-                        grow(members, at + 1, level + 1, here, now)
-
-            for members in groups.values():
-                if len(members) > 1:
-                    grow(members, 0, 1, c + 1, 0.0)
-        return sigs, roles
+            prefix, logs = toks[rare : lose + need], ranked[rare : lose + need]
+            # In order of the groups, ranks ascending within each; runs grow by the later members of their group.
+            group = (prefix >> np.uint64(20)) % np.uint64(m)
+            o = np.argsort(group, kind="stable")
+            group, prefix, logs = group[o], prefix[o], logs[o]
+            later = np.searchsorted(group, group, "right") - np.arange(len(group)) - 1
+            at, key, cost = np.arange(len(group)), _mixed(prefix ^ np.uint64(c + 1)), logs
+            for level in range(2, depth + 1):
+                n_next = later[at]
+                total_ = int(n_next.sum())
+                if not total_:
+                    break
+                step = np.arange(total_) - np.repeat(np.cumsum(n_next) - n_next, n_next)
+                at = np.repeat(at, n_next) + 1 + step
+                key, cost = _mixed(np.repeat(key, n_next) ^ prefix[at]), np.repeat(cost, n_next) + logs[at]
+                done = cost <= budget + (level - 1) * log_growth if level < depth else np.ones(total_, bool)
+                sigs.append(key[done])
+                roles.append((LONGER if own else 0) | np.where(o[at[done]] < short - rare + need, SHORTER, 0).astype(np.int8))
+                at, key, cost = at[~done], key[~done], cost[~done]
+        return np.concatenate(sigs), np.concatenate(roles)
 
     return sign
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
 def _sketch(ids: np.ndarray) -> tuple[int, int]:
     h = (ids.astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(57)
     bits = np.bincount(h.astype(np.int64), minlength=128) & 1
@@ -219,14 +227,14 @@ def signatures(reps: DataFrame, counts: np.ndarray) -> DataFrame:
                 for i in range(b.num_rows):
                     words_ = values[offsets[i] : offsets[i + 1]]
                     s, ok = sign(words_)
-                    sigs += s
-                    roles += ok
+                    sigs.append(s)
+                    roles.append(ok)
                     counts_.append(len(s))
                     lens.append(len(words_))
                     halves.append(_sketch(words_))
                 each = np.array(counts_)
                 half = np.array(halves, np.int64).reshape(-1, 2)
-                cols = [np.array(sigs, np.uint64).view(np.int64), np.repeat(rep, each), np.repeat(np.array(lens, np.int32), each), np.array(roles, np.int8), np.repeat(half[:, 0], each), np.repeat(half[:, 1], each)]
+                cols = [np.concatenate(sigs).view(np.int64), np.repeat(rep, each), np.repeat(np.array(lens, np.int32), each), np.concatenate(roles), np.repeat(half[:, 0], each), np.repeat(half[:, 1], each)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SIG)], schema=_SIG)
 
     return reps.select("rep", "ids").mapInArrow(run, "sig long, rep long, n int, role tinyint, s0 long, s1 long")
