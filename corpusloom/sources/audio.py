@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 #: Decoders by lower-case extension: (content, most frames or None) to (rate, channels x samples).
 DECODERS: dict[str, Callable[[bytes, int | None], tuple[int, np.ndarray]]] = {}
 
+#: Samples of decoded files that are held at most, besides those of one file.
+HELD = 1 << 20
+
 SCHEMA = "path string, ok boolean, error string, sample_rate int, channels array<array<float>>"
 
 
@@ -46,31 +49,43 @@ def wav(content: bytes, frames: int | None = None) -> tuple[int, np.ndarray]:
     return rate, x.reshape(-1, n).T
 
 
-def nested(rows: list[list[np.ndarray]]) -> pa.Array:
+def nested(rows: list[list[np.ndarray] | None]) -> pa.Array:
     """Rows of lists of vectors as an Arrow array of lists of lists of floats, without a Python number for each."""
+    missing = pa.array([r is None for r in rows], pa.bool_())
+    rows = [r or [] for r in rows]
     vectors = [np.ascontiguousarray(v, np.float32).ravel() for r in rows for v in r]
     inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, vectors)]), pa.int32()), pa.array(np.concatenate(vectors) if vectors else np.zeros(0, np.float32)))
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), inner)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), inner, mask=missing)
 
 
 _ROW = pa.schema([("path", pa.string()), ("ok", pa.bool_()), ("error", pa.string()), ("sample_rate", pa.int32()), ("channels", pa.list_(pa.list_(pa.float32())))])
 
 
 def decode(files: DataFrame, frames: int | None = None) -> DataFrame:
-    """(path, content) of binary files to decoded rows. ``frames`` limits what is read of each. Every row leaves as soon
-    as it is decoded, so that no more than one decoded file is held."""
+    """(path, content) of binary files to decoded rows. ``frames`` limits what is read of each. Rows leave in batches of
+    ``HELD`` samples, so that no more than these and one decoded file are held; short files don't cost a batch each."""
     table = dict(DECODERS)
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(cols[:4], _ROW)), nested(cols[4])], schema=_ROW)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows, held = [], 0
             for path, content in zip(*(b.column(i) for i in (0, 1))):
                 name = path.as_py()
                 try:
                     rate, x = table[name.rsplit(".", 1)[-1].lower()](content.as_py(), frames)
-                    cols = [[name], [True], [None], [rate], nested([list(x)])]
+                    rows.append((name, True, None, rate, [np.ascontiguousarray(v, np.float32).ravel() for v in x]))
+                    held += sum(map(len, rows[-1][4]))
                 except Exception as e:  # any broken file is a row
-                    cols = [[name], [False], [f"{type(e).__name__}: {e}"[:200]], [None], [None]]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, _ROW)], schema=_ROW)
+                    rows.append((name, False, f"{type(e).__name__}: {e}"[:200], None, None))
+                if held >= HELD:
+                    yield batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch(rows)
 
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
