@@ -9,9 +9,12 @@ Posterior: log prior and log likelihoods are added before a language is chosen.
 changes with the probability seen in texts; the most probable chain gives the segments, and a segment's confidence is
 the posterior probability of its language. A weak text so follows its label and host, a strong one its words.
 
-The word likelihoods are fitted on a bounded sample: at most about ``SAMPLE_PER_LANGUAGE`` texts for each declared
-language, drawn by a hash of the id, whole texts. Wrong labels in it are weighed down by a vote of frequent words. Trust
-in labels and addresses is fitted on about ``TRUST_SAMPLE`` texts. Priors and the labelling cover every row.
+Words are counted over all replies and prompts with a declared language, trust in labels and addresses and changes of
+the language over all texts, as sums of what each batch of rows holds; wrong labels are weighed down by a vote of frequent
+words in each sentence, since a mixed text would give the rarer language the words of the other. What reaches the driver
+are the words of which some language has as many as one in ``RARE`` of its texts, and counts whose number is fixed by the
+lists of languages. Priors and the labelling cover every row. (``fit_model``, for other operators, is fitted on a bounded
+sample: at most about ``SAMPLE_PER_LANGUAGE`` texts for each declared language, drawn by a hash of the id, whole texts.)
 
 Edge cases: null, blank and tag-only texts have no segment; a text without evidence gets the most probable language of
 its declared label, address and host with a low confidence; ties go to the first language in ``LANGUAGES``.
@@ -35,7 +38,9 @@ from corpusloom.session import table
 
 LANGUAGES = ("en", "de", "fr", "es", "zh", "ja")
 LATIN = LANGUAGES[:4]
-SAMPLE_PER_LANGUAGE, TRUST_SAMPLE = 2000, 6000
+SAMPLE_PER_LANGUAGE = 2000
+#: Words rarer than one in so many texts of a language are left out of the likelihoods, being mostly names.
+RARE = 2000
 #: Rows from which the priors of a table and of a host count as much as those of the level above.
 SMOOTH = 20
 #: Sentences of fewer words in Latin script don't change the language.
@@ -94,9 +99,16 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, rows: Iterable[tuple[str, str | None]]) -> LanguageModel:
-        """``rows``: (text, declared language). A row counts for the language its words vote for, if they do."""
+        """``rows``: (text, declared language)."""
+        counts, kana = cls.counted(rows)
+        return cls.of(counts, {l: sum(c.values()) for l, c in counts.items()}, kana)
+
+    @staticmethod
+    def counted(rows: Iterable[tuple[str, str | None]]) -> tuple[dict[str, Counter], dict[str, list[int]]]:
+        """Rows with a word by language, and (kana, all characters) of Chinese and Japanese. A row counts for the language
+        its words vote for, if they do. The counts of parts of the rows add up to those of all."""
         votes = {w: l for l in LATIN for w in STOPWORDS[l] if sum(w in STOPWORDS[x] for x in LATIN) == 1}
-        kept, kana = [], {"zh": [0, 0], "ja": [0, 0]}
+        counts, kana = {l: Counter() for l in LATIN}, {"zh": [0, 0], "ja": [0, 0]}
         for text, label in rows:
             n = len(_CJK.findall(text))
             if n >= 8:
@@ -112,14 +124,16 @@ class LanguageModel:
             if not best or (len(best) > 1 and best[1][1] * 3 > best[0][1]):
                 continue
             if label == best[0][0] or best[0][1] >= 3:
-                kept.append((best[0][0], ws))
-        counts = {l: Counter() for l in LATIN}
-        for l, ws in kept:
-            counts[l].update(set(ws))
+                counts[best[0][0]].update(set(ws))
+        return counts, kana
+
+    @classmethod
+    def of(cls, counts: dict[str, Counter], size: dict[str, int], kana: dict[str, list[int]]) -> LanguageModel:
+        """The model of such counts; ``size``: their sums by language, rare words included."""
+        counts, size = {l: Counter(counts[l]) for l in LATIN}, {l: size[l] + 3 * len(STOPWORDS[l]) + 200.0 for l in LATIN}
         for l in LATIN:
             for w in STOPWORDS[l]:
                 counts[l][w] += 3
-        size = {l: sum(counts[l].values()) + 200.0 for l in LATIN}
         weights = {}
         for w in set().union(*counts.values()):
             if sum(counts[l][w] for l in LATIN) < 3:
@@ -277,6 +291,33 @@ def fit_model(spark: SparkSession, d: str) -> LanguageModel:
     return LanguageModel.fit([(t, r[2]) for r in rows for t in r[:2] if t])
 
 
+_COUNTED = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("kana", pa.int64())])
+
+
+def fit_whole(spark: SparkSession, d: str) -> LanguageModel:
+    """A model of all labelled replies and their prompts, from one grouped aggregation."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            reply, prompt, label = (c.to_pylist() for c in b.columns)
+            counts, kana = LanguageModel.counted((x, l) for *both, l in zip(reply, prompt, label) for t in both if t for x in _SENTENCE.findall(TAG.sub(" ", t)))
+            rows = [(l, w, n, 0) for l, c in counts.items() for w, n in c.items()]
+            rows += [(l, "", sum(c.values()), 0) for l, c in counts.items()] + [(l, "", n, k) for l, (k, n) in kana.items()]  # no word is empty
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _COUNTED)], schema=_COUNTED)
+
+    turns = labelled_turns(spark, d).where("label is not null")
+    least = {r[0]: max(3, 2 * r[1] / RARE) for r in turns.groupBy("label").count().collect()}
+    of = lambda l, c: F.coalesce(F.sum(F.when(F.col("lang") == l, F.col(c))), F.lit(0))
+    words = turns.select("text", "prompt", "label").mapInArrow(run, "lang string, word string, n long, kana long").groupBy("word").agg(*[of(l, "n").alias(l) for l in LANGUAGES], *[of(l, "kana").alias(f"kana_{l}") for l in ("zh", "ja")])
+    stop = sorted({w for l in LATIN for w in STOPWORDS[l]})
+    rows = words.where((F.col("word") == "") | F.col("word").isin(stop) | (sum((F.col(l) / F.lit(float(least.get(l, 3))) for l in LATIN), F.lit(1e-9)) >= 1)).collect()
+    total = next((r for r in rows if r["word"] == ""), None)
+    if total is None:
+        return LanguageModel.fit([])
+    counts = {l: Counter({r["word"]: r[l] for r in rows if r["word"] and r[l]}) for l in LATIN}
+    return LanguageModel.of(counts, {l: total[l] for l in LATIN}, {l: [total[f"kana_{l}"], total[l]] for l in ("zh", "ja")})
+
+
 def texts(spark: SparkSession, d: str) -> DataFrame:
     """(tbl, rec_id, text, declared, host, address) of replies and test texts."""
     sources = source_order(spark, d)
@@ -300,16 +341,32 @@ class Trust:
     @classmethod
     def fit(cls, model: LanguageModel, rows: Iterable[tuple[str, str, str | None, str | None]]) -> Trust:
         """``rows``: (tbl, text, declared, address)."""
-        label, address = defaultdict(Counter), defaultdict(Counter)
-        changes = pairs = 0
+        return cls.summed(cls.counted(model, rows).items())
+
+    @staticmethod
+    def counted(model: LanguageModel, rows: Iterable[tuple[str, str, str | None, str | None]]) -> Counter:
+        """Counts of (what, table, language, value), which add up over parts of the rows."""
+        n = Counter()
         for tbl, text, declared, part in rows:
             units = [l for _, l, m in model.units(text) if l and m >= 6.0]
-            changes += sum(a != b for a, b in zip(units, units[1:]))
-            pairs += max(0, len(units) - 1)
+            n["change", None, None, None] += sum(a != b for a, b in zip(units, units[1:]))
+            n["pair", None, None, None] += max(0, len(units) - 1)
             if units and len(set(units)) == 1:
-                label[tbl, units[0]][declared] += 1
-                address[units[0]][part] += 1
-        return cls(cls._shares(label), cls._shares(address), (changes + 1) / (pairs + 20))
+                n["label", tbl, units[0], declared] += 1
+                n["address", None, units[0], part] += 1
+        return n
+
+    @classmethod
+    def summed(cls, counts: Iterable[tuple[tuple[str, str | None, str | None, str | None], int]]) -> Trust:
+        label, address, other = defaultdict(Counter), defaultdict(Counter), Counter()
+        for (what, tbl, lang, value), n in counts:
+            if what == "label":
+                label[tbl, lang][value] += n
+            elif what == "address":
+                address[lang][value] += n
+            else:
+                other[what] += n
+        return cls(cls._shares(label), cls._shares(address), (other["change"] + 1) / (other["pair"] + 20))
 
     @staticmethod
     def _shares(counts: dict) -> dict:
@@ -353,12 +410,26 @@ def host_priors(counts: list, trust: Trust) -> dict[tuple[str, str, str | None,
     return out
 
 
+_TRUST = pa.schema([("what", pa.string()), ("tbl", pa.string()), ("lang", pa.string()), ("value", pa.string()), ("n", pa.int64())])
+
+
+def fit_trust(df: DataFrame, model: LanguageModel) -> Trust:
+    """Trust counted over all texts, in one grouped aggregation whose groups are fixed by the list of languages."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(*k, n) for k, n in Trust.counted(shared.value, zip(*(c.to_pylist() for c in b.columns))).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_TRUST)], schema=_TRUST)
+
+    parts = df.where(F.col("text").isNotNull()).select("tbl", "text", "declared", "address").mapInArrow(run, "what string, tbl string, lang string, value string, n long")
+    return Trust.summed((tuple(r)[:4], r["n"]) for r in parts.groupBy("what", "tbl", "lang", "value").agg(F.sum("n").alias("n")).collect())
+
+
 def fit_priors(df: DataFrame, model: LanguageModel) -> tuple[dict, float]:
-    """Priors by group, from one grouped aggregation over all rows, and the probability of a change."""
+    """Priors by group and the probability of a change, from grouped aggregations over all rows."""
     counts = df.groupBy("tbl", "host", "address", "declared").count().collect()
-    step = max(1, sum(r["count"] for r in counts) // TRUST_SAMPLE)
-    chosen = df.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("tbl", "rec_id", F.lit(19)), F.lit(step)) == 0))
-    trust = Trust.fit(model, [tuple(r) for r in chosen.select("tbl", "text", "declared", "address").limit(3 * TRUST_SAMPLE).collect()])
+    trust = fit_trust(df, model)
     return host_priors(counts, trust), trust.change
 
 
@@ -369,7 +440,7 @@ _DDL = "tbl string, rec_id long, seg_no long, lang string, confidence double, n_
 def label(spark: SparkSession, d: str) -> DataFrame:
     """One row per segment of each text that has letters."""
     df = texts(spark, d)
-    fitted = fit_model(spark, d)
+    fitted = fit_whole(spark, d)
     model = spark.sparkContext.broadcast((fitted, *fit_priors(df, fitted)))  # all of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
